@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from corvella.session import read_table
 
-from . import bpe, line_dedup, packing
+from . import bpe, exact_topk, html_blocks, jaccard_join, language_id, line_crf, line_dedup, order_minhash, packing
+
+
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = order_minhash.fingerprint_pairs(read_table(spark, sf_dir, "documents"))
+    return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +21,21 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_crf.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = line_crf.score(docs, model)
+    return scored.select("doc_id", line_crf.held_out().alias("held_out"), "score", (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -27,12 +47,25 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.learn_and_identify(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pack_power_of_two(read_table(spark, sf_dir, "documents"), packing.default_tokenizer())
     return cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op6_byte_bpe": op6_byte_bpe, "op8_packing": op8_packing}
+def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_blocks.extract(read_table(spark, sf_dir, "pages"), html_blocks.train())
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_order_minhash, op2_line_dedup, op3_exact_topk, op4_line_crf, op5_ngram_jaccard, op6_byte_bpe, op7_language_id, op8_packing, op10_html_blocks)
+}
 
 _OP2 = r"""
 WITH lines AS (
@@ -53,4 +86,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op2_line_dedup": _OP2}
+_OP3 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+ORACLE_SQL = {"op2_line_dedup": _OP2, "op3_exact_topk": _OP3}
