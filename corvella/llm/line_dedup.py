@@ -39,7 +39,8 @@ class RunStore:
 
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        run.write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", scratch_path(self.spark, name)).saveAsTable(name)
+        run = run.repartition(self.buckets, "h1", "h2")  # a task writes one bucket
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", scratch_path(self.spark, name)).saveAsTable(name)
         return name
 
     def runs(self) -> list[DataFrame]:
