@@ -1,4 +1,59 @@
-"""The corpus pipeline: quality, lines, near duplicates, repeated passages, packing."""
+"""The corpus pipeline: bad documents, common lines, near duplicates and repeated passages go, the rest is packed."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvella.llm import bwt_dedup, jaccard_join, line_crf, line_dedup, packing
+from corvella.session import materialize, read_table
+
+
+def _as_documents(found: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, with ``n_chars`` of the text as it is now."""
+    return found.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType)).select(*like.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the line CRF scores at its threshold or above."""
+    model = line_crf.train(docs, read_table(spark, sf_dir, "labels"))
+    kept = line_crf.score(docs, model, score_col="__score").where(F.col("__score") >= line_crf.THRESHOLD)
+    return kept.select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines of three documents or more but in the last of them; every document stays."""
+    return _as_documents(line_dedup.dedup_lines(docs), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of the least id stays; rows with a null id all stay."""
+    others = jaccard_join.jaccard_join(docs).where("doc_id <> class_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut 50-byte passages of documents of smaller id; every document stays."""
+    return _as_documents(bwt_dedup.drop_repeats(docs, as_text=True), docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two length, each a sequence."""
+    cut = packing.pack_power_of_two(docs, packing.default_tokenizer())
+    return cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("passages", passages), ("packed", packed)]
+
+#: Training, banding and tokenizing have no SQL; tests compare with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each but the last is written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs, f"stage-{name}")
+    return docs

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvella.session import read_table
 
-from . import bpe, exact_topk, html_blocks, jaccard_join, language_id, line_crf, line_dedup, order_minhash, packing
+from . import bpe, bwt_dedup, exact_topk, html_blocks, jaccard_join, language_id, line_crf, line_dedup, order_minhash, packing
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bwt_dedup.drop_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_blocks.extract(read_table(spark, sf_dir, "pages"), html_blocks.train())
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -64,8 +70,8 @@ def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_order_minhash, op2_line_dedup, op3_exact_topk, op4_line_crf, op5_ngram_jaccard, op6_byte_bpe, op7_language_id, op8_packing, op10_html_blocks)
-}
+    for f in (op1_order_minhash, op2_line_dedup, op3_exact_topk, op4_line_crf, op5_ngram_jaccard, op6_byte_bpe, op7_language_id, op8_packing, op9_suffix_dedup, op10_html_blocks)
+} | {"pipeline": corpus_pipeline.run}
 
 _OP2 = r"""
 WITH lines AS (
