@@ -1,11 +1,6 @@
-"""Every registered query of the engine with its oracle SQL, gathered from the query modules."""
+"""Every registered query of the engine with its oracle SQL."""
 
-from __future__ import annotations
+from . import relational_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "dedup_cluster_summary"
+FLAGSHIP = "source_summary_having"
