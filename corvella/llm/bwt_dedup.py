@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +76,15 @@ class Strands:
     def __init__(self, flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = KMER):
         self.flat, self.length = flat, length
         spans = [self._stretch(flat, a, b, offsets, length, k) for a, b in self._stretches(offsets, length)]
-        starts, self.key = (np.concatenate([s[j] for s in spans]) if spans else np.empty(0, t) for j, t in ((0, np.int64), (1, np.uint64)))
-        ends = np.concatenate([s[2] for s in spans]) if spans else np.empty(0, np.int64)
+        kinds = (np.int64, np.uint64, np.int64, np.int64)
+        starts, self.key, ends, place = (np.concatenate([s[j] for s in spans]) if spans else np.empty(0, t) for j, t in enumerate(kinds))
         # windows must not cross the end of their document: a strand is cut there
         owner = np.searchsorted(offsets, starts, side="right") - 1
         last = offsets[owner + 1] - length
         windows = np.minimum(ends, last + 1) - starts
         kept = windows > 0
         self.start, self.windows, self.key, self.owner = starts[kept], windows[kept], self.key[kept], owner[kept]
+        self.lead = (place - starts)[kept]  # bytes before the k-mer
 
     @staticmethod
     def _stretches(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
@@ -93,10 +96,10 @@ class Strands:
             first += limit
 
     @staticmethod
-    def _stretch(flat: np.ndarray, a: int, b: int, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _stretch(flat: np.ndarray, a: int, b: int, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
         part = flat[a : b + length - 1]
         if len(part) < length:
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         hashes = rolling(part, k)
         low = np.uint64((1 << STRETCH_BITS) - 1)
         least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
@@ -111,7 +114,7 @@ class Strands:
         fresh = np.concatenate(([True], place[1:] != place[:-1]))
         fresh[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + len(place))] - a] = True  # a document's first window
         change = np.flatnonzero(fresh)
-        return a + change, hashes[place[change]], a + np.append(change[1:], len(place))
+        return a + change, hashes[place[change]], a + np.append(change[1:], len(place)), a + place[change]
 
 
 def strand_hashes(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -229,13 +232,23 @@ def _buckets(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 class KeyFilter:
-    """A Bloom filter in one segment for each range of keys."""
+    """A Bloom filter in one segment for each range of keys, over the upper 40 bits of the keys."""
 
     def __init__(self, parts: int, bits: int = FILTER_BITS):
         self.parts, self.segment = parts, max(64, bits // parts // 8 * 8)
 
+    @staticmethod
+    def short(keys: np.ndarray) -> bytes:
+        return keys.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+    @staticmethod
+    def long(raw: bytes) -> np.ndarray:
+        wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+        wide[:, 3:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+        return wide.view(np.uint64).ravel()
+
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mixed = mix(keys)
+        mixed = mix(keys >> np.uint64(24))
         return mixed % np.uint64(self.segment), (mixed >> np.uint64(33)) % np.uint64(self.segment)
 
     def fill(self, keys: np.ndarray) -> bytes:
@@ -256,53 +269,99 @@ class KeyFilter:
 PIECE = 8 << 20
 #: Strand bytes merged at a time; strands of one k-mer stay together.
 TOGETHER = 1 << 20
-STRAND_SCHEMA = "bucket int, keys binary, sums binary, sizes binary, text binary, strand binary, doc binary, start binary, ids binary, marks binary"
+#: k-mer ranges for each shuffle partition: a range is what one call resolves, so it bounds a worker's memory.
+RANGES = 4
+STRAND_SCHEMA = "bucket int, piece long, keys binary, sums binary, sizes binary, leads binary, text binary, times binary, doc binary, start binary, owner binary, ids binary"
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _spread(raw: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=kind)
+
+
+def _sides(text: np.ndarray, begin: np.ndarray, size: np.ndarray, lead: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``reach`` bytes before and after each strand's k-mer, and 0 where a strand has fewer."""
+    out = []
+    for at, enough in ((begin + lead - reach, lead >= reach), (begin + lead + k, lead + k + reach <= size)):
+        total = np.zeros(len(begin), dtype=np.uint64)
+        for j in range(reach):
+            total = total * FACTOR + _TABLE[text[np.where(enough, at + j, 0)]]
+        out.append(np.where(enough, mix(total) | np.uint64(1), np.uint64(0)))
+    return out[0], out[1]
+
+
+def _alike(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which rows share their group and a side with another row."""
+    order = np.lexsort((side, group))
+    g, s = group[order], side[order]
+    same = (g[1:] == g[:-1]) & (s[1:] == s[:-1]) & (s[1:] != 0)
+    out = np.zeros(len(group), dtype=bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
 
 
-def _resolve(keys, sums, sizes, text, occ_strand, occ_doc, occ_start, ids, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, window start) of every window that also starts in a document of smaller id, for whole k-mer groups."""
+def _resolve(keys, sums, sizes, leads, text, occ_strand, occ_id, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For whole k-mer groups: of each occurrence of a strand, the runs of windows that also start in a document of
+    smaller id, as (occurrence, first window, last window)."""
     order = np.lexsort((sums, keys))
-    k, s = keys[order], sums[order]
-    fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
+    a, b = keys[order], sums[order]
+    fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     of = np.empty(len(keys), dtype=np.int64)
     of[order] = np.cumsum(fresh) - 1
     heads = order[fresh]  # a strand for each distinct one
     strand = of[occ_strand]
     by = np.argsort(strand, kind="stable")
-    least = np.minimum.reduceat(ids[occ_doc[by]], np.searchsorted(strand[by], np.arange(len(heads))))
-    windows = sizes[heads] - (length - 1)
-    key = keys[heads]
-    group = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    members = np.diff(np.append(group, len(key)))
-    several = np.repeat(members > 1, members)
-    lows = np.repeat(least, windows)
-    first = np.cumsum(windows) - windows
-    begin = np.cumsum(sizes) - sizes
+    least = np.minimum.reduceat(occ_id[by], np.searchsorted(strand[by], np.arange(len(heads))))
+    key, size, begin = keys[heads], sizes[heads], (np.cumsum(sizes) - sizes)[heads]
+    windows = size - (length - 1)
+    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+    several = np.bincount(group)[group] > 1
+    some = np.flatnonzero(several)
+    if len(some):
+        # a window reaches half of what is left beyond the k-mer on one side at least: strands that share neither
+        # side with another of their k-mer share no window
+        before, after = _sides(text, begin[some], size[some], leads[heads[some]], k, (length - k) // 2)
+        several[some] = _alike(group[some], before) | _alike(group[some], after)
     chosen = np.flatnonzero(several)
+    first = np.cumsum(windows[chosen]) - windows[chosen]
+    lows = np.empty(int(windows[chosen].sum()), dtype=np.int64)
     if len(chosen):
-        weight = np.cumsum(sizes[heads][chosen])
-        lead = np.concatenate(([True], key[chosen][1:] != key[chosen][:-1]))
+        weight = np.cumsum(size[chosen])
         cut, taken = [0], 0
-        for at in np.flatnonzero(lead)[1:].tolist():
+        for at in (np.flatnonzero(group[chosen][1:] != group[chosen][:-1]) + 1).tolist():
             if weight[at - 1] - taken >= TOGETHER:
                 cut.append(at)
                 taken = weight[at - 1]
-        raw = text.tobytes()
-        for a, b in zip(cut, [*cut[1:], len(chosen)], strict=True):
-            part = chosen[a:b]
-            strings = [raw[x : x + n] for x, n in zip(begin[heads[part]].tolist(), sizes[heads[part]].tolist(), strict=True)]
-            lows[_ragged(first[part], windows[part])] = Merged(strings, length).least(least[part], windows[part])
-    span = windows[strand]
-    place = _ragged(np.zeros(len(strand), dtype=np.int64), span)
-    doc = np.repeat(occ_doc, span)
-    gone = lows[np.repeat(first[strand], span) + place] < ids[doc]
-    return doc[gone], (np.repeat(occ_start, span) + place)[gone]
+        for x, y in zip(cut, [*cut[1:], len(chosen)], strict=True):
+            part = chosen[x:y]
+            strings = [text[p : p + n].tobytes() for p, n in zip(begin[part].tolist(), size[part].tolist(), strict=True)]
+            lows[_ragged(first[x:y], windows[part])] = Merged(strings, length).least(least[part], windows[part])
+    whole = np.flatnonzero(~several[strand] & (least[strand] < occ_id))
+    found = [(whole, np.zeros(len(whole), dtype=np.int64), windows[strand[whole]] - 1)]
+    place_of = np.full(len(heads), -1, dtype=np.int64)
+    place_of[chosen] = np.arange(len(chosen))
+    mixed = np.flatnonzero(several[strand])
+    for x in range(0, len(mixed), 1 << 17):
+        occ = mixed[x : x + (1 << 17)]
+        at, span = place_of[strand[occ]], windows[strand[occ]]
+        window = _ragged(np.zeros(len(occ), dtype=np.int64), span)
+        owner = np.repeat(np.arange(len(occ)), span)
+        gone = lows[np.repeat(first[at], span) + window] < occ_id[occ][owner]
+        edge = np.concatenate(([True], owner[1:] != owner[:-1]))
+        opens = gone & (edge | ~np.concatenate(([False], gone[:-1])))
+        closes = gone & (np.append(edge[1:], True) | ~np.append(gone[1:], False))
+        found.append((occ[owner[opens]], window[opens], window[closes]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = KMER) -> DataFrame:
     """(id, mark, starts, ends): byte spans covered by repeated windows, as 64-bit integers; ``mark`` is the text's hash."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = shuffle_partitions(spark) * RANGES
     sieve = KeyFilter(parts)
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("string").alias("text")).where("id is not null and octet_length(text) >= " + str(length))
 
@@ -322,88 +381,124 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 yield pa.record_batch(
                     [
                         pa.array(full, pa.int32()),
-                        pa.array([keys[bounds[p] : bounds[p + 1]].tobytes() for p in full], pa.binary()),
-                        pa.array([keys[bounds[p] : bounds[p + 1]][several[bounds[p] : bounds[p + 1]]].tobytes() for p in full], pa.binary()),
+                        pa.array([sieve.short(keys[bounds[p] : bounds[p + 1]]) for p in full], pa.binary()),
+                        pa.array([sieve.short(keys[bounds[p] : bounds[p + 1]][several[bounds[p] : bounds[p + 1]]]) for p in full], pa.binary()),
                     ],
                     names=["bucket", "keys", "several"],
                 )
 
     def shared_keys(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.sort(np.frombuffer(b"".join(group["keys"]), dtype=np.uint64))
+        keys = np.sort(sieve.long(b"".join(group["keys"])))
         twice = keys[1:][keys[1:] == keys[:-1]]
-        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [sieve.fill(np.concatenate([twice, np.frombuffer(b"".join(group["several"]), dtype=np.uint64)]))]})
+        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [sieve.fill(np.concatenate([twice, sieve.long(b"".join(group["several"]))]))]})
 
     lists = rows.mapInArrow(key_lists, "bucket int, keys binary, several binary")
-    segments = np.zeros(parts * sieve.segment // 8, dtype=np.uint8)
-    for row in lists.groupBy("bucket").applyInPandas(shared_keys, "bucket int, bits binary").collect():
-        width = sieve.segment // 8
+    width = sieve.segment // 8
+    segments = np.zeros(parts * width, dtype=np.uint8)
+    for row in lists.groupBy("bucket").applyInPandas(shared_keys, "bucket int, bits binary").toLocalIterator():
         segments[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
     known = spark.sparkContext.broadcast(segments)
 
     def strands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (TaskContext.get().partitionId() << 32) - 1  # the same piece has the same number when a task runs again
+        cuts = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
         for batch in batches:
             all_flat, all_offsets = utf8(batch.column(2))
             ids, marks = (batch.column(j).to_numpy(zero_copy_only=False) for j in (0, 1))
             for a, b in pieces(all_offsets, PIECE):
+                number += 1
                 flat, offsets = all_flat[all_offsets[a] : all_offsets[b]], all_offsets[a : b + 1] - all_offsets[a]
                 found = Strands(flat, offsets, length, k)
-                cuts = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
                 part = np.searchsorted(cuts, found.key, side="right")
                 kept = sieve.holds(known.value, part, found.key)
-                key, part, start, owner = found.key[kept], part[kept], found.start[kept], found.owner[kept]
+                key, part, start, owner, lead = found.key[kept], part[kept], found.start[kept], found.owner[kept], found.lead[kept]
                 size = found.windows[kept] + (length - 1)
                 sums = strand_hashes(flat, start, size)
                 order = np.lexsort((sums, key))
-                key, part, start, owner, size, sums = (x[order] for x in (key, part, start, owner, size, sums))
+                key, part, start, owner, lead, size, sums = (x[order] for x in (key, part, start, owner, lead, size, sums))
                 fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sums[1:] != sums[:-1]))) if len(key) else np.empty(0, bool)
-                which = np.cumsum(fresh) - 1
                 heads = np.flatnonzero(fresh)
+                times = np.diff(np.append(heads, len(key)))
                 bounds = np.searchsorted(part, np.arange(parts + 1))
-                out: list[list] = [[] for _ in range(10)]
+                out: list[list] = [[] for _ in range(12)]
                 for p in np.flatnonzero(np.diff(bounds)).tolist():
                     lo, hi = bounds[p], bounds[p + 1]
-                    own = heads[np.searchsorted(heads, lo) : np.searchsorted(heads, hi)]
-                    docs_here, doc = np.unique(owner[lo:hi], return_inverse=True)
+                    span = slice(*np.searchsorted(heads, (lo, hi)))
+                    own = heads[span]
+                    here, doc = np.unique(owner[lo:hi], return_inverse=True)
                     values = (
                         p,
+                        number,
                         key[own].tobytes(),
                         sums[own].tobytes(),
-                        size[own].astype(np.int32).tobytes(),
-                        flat[_ragged(start[own], size[own])].tobytes(),
-                        (which[lo:hi] - which[lo]).astype(np.int32).tobytes(),
-                        doc.astype(np.int32).tobytes(),
-                        (start[lo:hi] - offsets[owner[lo:hi]]).astype(np.int64).tobytes(),
-                        ids[a + docs_here].astype(np.int64).tobytes(),
-                        marks[a + docs_here].astype(np.int64).tobytes(),
+                        _squeeze(size[own].astype(np.uint16)),
+                        _squeeze(lead[own].astype(np.uint16)),
+                        _squeeze(flat[_ragged(start[own], size[own])]),
+                        _squeeze(times[span].astype(np.int32)),
+                        _squeeze(doc.astype(np.int32)),
+                        _squeeze(start[lo:hi] - offsets[owner[lo:hi]]),
+                        _squeeze(here.astype(np.int32)),
+                        _squeeze(ids[a + here].astype(np.int64)),
                     )
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-                yield pa.record_batch([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=[f.split()[0] for f in STRAND_SCHEMA.split(", ")])
+                # the piece's own list of documents, which its answers come back to
+                for column, value in zip(out, (-1, number, ids[a:b].astype(np.int64).tobytes(), marks[a:b].astype(np.int64).tobytes(), *[b""] * 8), strict=True):
+                    column.append(value)
+                yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *[pa.array(c, pa.binary()) for c in out[2:]]], names=[f.split()[0] for f in STRAND_SCHEMA.split(", ")])
 
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
+        if group["bucket"].iloc[0] < 0:  # lists of documents pass through
+            return pd.DataFrame({"piece": group["piece"], "owner": group["keys"], "start": group["sums"], "end": [b""] * len(group)})
         keys, sums = (np.frombuffer(b"".join(group[c]), dtype=np.uint64) for c in ("keys", "sums"))
-        sizes = np.frombuffer(b"".join(group["sizes"]), dtype=np.int32).astype(np.int64)
-        text = np.frombuffer(b"".join(group["text"]), dtype=np.uint8)
-        strand, doc, start = [], [], np.frombuffer(b"".join(group["start"]), dtype=np.int64)
-        at_strand = at_doc = 0
-        for a, b, c, d in zip(group["strand"], group["doc"], group["keys"], group["ids"], strict=True):
-            strand.append(np.frombuffer(a, dtype=np.int32).astype(np.int64) + at_strand)
-            doc.append(np.frombuffer(b, dtype=np.int32).astype(np.int64) + at_doc)
-            at_strand, at_doc = at_strand + len(c) // 8, at_doc + len(d) // 8
-        ids, marks = (np.frombuffer(b"".join(group[c]), dtype=np.int64) for c in ("ids", "marks"))
-        doc, place = _resolve(keys, sums, sizes, text, np.concatenate(strand), np.concatenate(doc), start, ids, length)
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + length))) if len(doc) else np.empty(0, bool)
+        sizes, leads = (np.concatenate([_spread(r, np.uint16) for r in group[c]]).astype(np.int64) for c in ("sizes", "leads"))
+        text = np.concatenate([_spread(r, np.uint8) for r in group["text"]])
+        times = np.concatenate([_spread(r, np.int32) for r in group["times"]])
+        start = [_spread(r, np.int64) for r in group["start"]]
+        owner, ids = [], []
+        for doc, here, known_ids in zip(group["doc"], group["owner"], group["ids"], strict=True):
+            local = _spread(doc, np.int32)
+            owner.append(_spread(here, np.int32)[local])
+            ids.append(_spread(known_ids, np.int64)[local])
+        cut = np.cumsum([0, *(len(x) for x in start)])
+        occurrence, low, high = _resolve(keys, sums, sizes, leads, text, np.repeat(np.arange(len(keys)), times), np.concatenate(ids), length, k)
+        starts, owners = np.concatenate(start), np.concatenate(owner)
+        row = np.searchsorted(cut, occurrence, side="right") - 1
+        order = np.argsort(row, kind="stable")
+        occurrence, low, high = occurrence[order], low[order], high[order]
+        bounds = np.searchsorted(row[order], np.arange(len(group) + 1))
+        answers = []
+        for j, piece in enumerate(group["piece"]):
+            at = slice(bounds[j], bounds[j + 1])
+            if bounds[j + 1] > bounds[j]:
+                begin = starts[occurrence[at]]
+                answers.append((piece, _squeeze(owners[occurrence[at]]), _squeeze(begin + low[at]), _squeeze((high[at] - low[at] + length).astype(np.uint16))))
+        return pd.DataFrame(answers, columns=["piece", "owner", "start", "end"])
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        """Of one piece: each document's spans, joined where they touch."""
+        lists = group["end"].str.len() == 0
+        ids, marks = (np.frombuffer(group.loc[lists, c].iloc[0], dtype=np.int64) for c in ("owner", "start"))
+        spans = group[~lists]
+        if not len(spans):
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "mark": pd.Series(dtype="int64"), "starts": [], "ends": []})
+        owner, start, size = (np.concatenate([_spread(r, kind) for r in spans[c]]) for c, kind in (("owner", np.int32), ("start", np.int64), ("end", np.uint16)))
+        order = np.lexsort((start, owner))
+        owner, start, end = owner[order].astype(np.int64), start[order], (start + size)[order]
+        far = int(end.max()) + 2
+        reach = np.maximum.accumulate(owner * far + end)  # the furthest end so far of the same document
+        fresh = np.concatenate(([True], owner[1:] * far + start[1:] > reach[:-1]))
         head = np.flatnonzero(fresh)
-        ends = place[np.append(head[1:], len(doc)) - 1] + length if len(head) else np.empty(0, np.int64)
-        starts, owner = place[head], doc[head]
-        docs_here = np.unique(owner)
-        cut = np.searchsorted(owner, docs_here), np.searchsorted(owner, docs_here, side="right")
-        return pd.DataFrame({"id": ids[docs_here], "mark": marks[docs_here], "starts": [starts[a:b].tobytes() for a, b in zip(*cut, strict=True)], "ends": [ends[a:b].tobytes() for a, b in zip(*cut, strict=True)]})
-
-    dealt = rows.mapInArrow(strands, STRAND_SCHEMA)
-    return dealt.groupBy("bucket").applyInPandas(resolve, "id long, mark long, starts binary, ends binary")
+        ends = reach[np.append(head[1:], len(owner)) - 1] - owner[head] * far
+        starts, owner = start[head], owner[head]
+        here = np.unique(owner)
+        a, b = np.searchsorted(owner, here), np.searchsorted(owner, here, side="right")
+        return pd.DataFrame({"id": ids[here], "mark": marks[here], "starts": [starts[x:y].tobytes() for x, y in zip(a, b, strict=True)], "ends": [ends[x:y].tobytes() for x, y in zip(a, b, strict=True)]})
+
+    # lists of documents need no company: spread them over groups of their own
+    dealt = rows.mapInArrow(strands, STRAND_SCHEMA).withColumn("apart", F.when(F.col("bucket") < 0, F.col("piece")).otherwise(0))
+    answers = dealt.groupBy("bucket", "apart").applyInPandas(resolve, "piece long, owner binary, start binary, end binary")
+    return answers.groupBy("piece").applyInPandas(gather, "id long, mark long, starts binary, ends binary")
 
 
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
