@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often and however deep within lambdas it stands."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column, pattern: str = WORD) -> Column:
     """Lower-cased words of a text; null gives none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
@@ -35,15 +40,22 @@ def sentence_words(text: Column, more_than: int = 10, pattern: str = WORD, at_le
 
 def shingles(tokens: Column, k: int = 5) -> Column:
     """The set of k-token runs; a shorter list gives its suffixes."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    tails = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array_distinct(tails)).otherwise(F.array_distinct(runs))
+
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+        whole = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(t, i, k), " "))
+        tails = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array_distinct(tails)).otherwise(F.array_distinct(whole))
+
+    return let(tokens, runs)
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    size = F.size(tokens)
-    return F.when(size < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    """All n-token runs in order."""
+    return let(
+        tokens,
+        lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))),
+    )
 
 
 def blank_to_null(text: Column) -> Column:
@@ -176,7 +188,7 @@ def log_add_exp(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    return let(norm, lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
 def dot(a: Column, b: Column) -> Column:
