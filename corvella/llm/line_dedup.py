@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,25 +35,29 @@ class RunStore:
     def __init__(self, spark, fanout: int = 3):
         self.spark, self.fanout, self.buckets = spark, fanout, shuffle_partitions(spark)
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch_path(self.spark, name)
         run = run.repartition(self.buckets, "h1", "h2")  # a task writes one bucket
-        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", scratch_path(self.spark, name)).saveAsTable(name)
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
-    @staticmethod
-    def merged(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+    def merged(self, names: list[str]) -> DataFrame:
+        """One row a hash over some runs. They are read as files: a union of bucketed tables may pass for one that has
+        each hash in one partition, which it has not where the planner reads a table without its buckets."""
+        rows = self.spark.read.schema("h1 long, h2 long, n long, keeper long").parquet(*(self.paths[n] for n in names))
+        return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
     def add(self, batch: DataFrame) -> None:
         """``batch`` has one row a hash. Hashes that no run holds keep the batch's keeper; those that one holds only count."""
         run = batch
-        for held in self.runs():
-            run = run.join(held.select("h1", "h2", F.lit(True).alias("held")).hint("merge"), ["h1", "h2"], "left")
+        for name in self.names():
+            run = run.join(self.spark.table(name).select("h1", "h2", F.lit(True).alias("held")).hint("merge"), ["h1", "h2"], "left")
             run = run.withColumn("keeper", F.when(F.col("held").isNull(), F.col("keeper"))).drop("held")
         self._push(0, self._write(run))
 
@@ -64,7 +67,7 @@ class RunStore:
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._push(level + 1, self._write(self.merged([self.spark.table(n) for n in full])))
+            self._push(level + 1, self._write(self.merged(full)))
             for old in full:
                 self.spark.sql(f"DROP TABLE IF EXISTS {old}")
 
@@ -87,16 +90,17 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.drop("n_lines", "n_dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000).alias("cuts")).first()["cuts"] or []
+    cuts = sorted(set(cuts))
     batch = sum((F.when(F.col("id") <= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     hashes = F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n"), line_key), lambda k: F.length(k) >= min_chars), key_hash))
     at = scratch_path(spark, "lines")
     docs.select(F.col(id_col).cast("long").alias("id"), F.explode(hashes).alias("h")).where("id is not null").select("id", "h.h1", "h.h2", batch.alias("batch")).write.partitionBy("batch").parquet(at)
     lines = spark.read.schema("id long, h1 long, h2 long, batch int").parquet(at)
     store = RunStore(spark, fanout)
-    for k in range(len(set(cuts)) + 1 if cuts else 1):
+    for k in range(len(cuts) + 1):
         own = lines.where(F.col("batch") == k).groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
         store.add(own.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")))
-    known = store.merged(store.runs()).where(F.col("n") >= min_docs)
+    known = store.merged(store.names()).where(F.col("n") >= min_docs)
     common = scratch_path(spark, "common-lines")
     known.write.parquet(common)
     known = spark.read.schema(known.schema).parquet(common)
