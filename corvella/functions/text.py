@@ -27,7 +27,7 @@ def embedding_words(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences: lines split after . ! or ? before white space, trimmed, empty ones left out."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])\s+", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(marked, "\n"), lambda x: F.trim(x)), lambda s: F.length(s) > 0)
 
 
 def sentence_words(text: Column, more_than: int = 10, pattern: str = WORD, at_least: int | None = None) -> Column:
@@ -77,7 +77,7 @@ def prefix_key(name: Column) -> Column:
 
 
 def split_list(cell: Column, separator: str = ",") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_year(text: Column) -> Column:
@@ -96,7 +96,7 @@ def acronym(agency: Column) -> Column:
 
 def topics(text: Column, kind: Column) -> Column:
     """The first six parts between ; : - and bullets, then the kind, each once."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;:•-]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;:•-]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_distinct(F.concat(F.slice(parts, 1, 6), F.when(kind.isNotNull() & (kind != ""), F.array(kind)).otherwise(F.array().cast("array<string>"))))
 
 

@@ -88,7 +88,7 @@ def fit_alpha(log_ratio: np.ndarray, low: float = 1e-6, high: float = 1 - 1e-6,
 
 
 def mixture(log_probs: DataFrame, keys: tuple[str, ...], bootstraps: int = 200, seed: int = 42) -> DataFrame:
-    """(keys, n_sentences, alpha, ci_lower, ci_upper) of each stratum; NaN below ``USABLE`` sentences.
+    """(keys, n_sentences, alpha, ci_lower, ci_upper) of each stratum; null below ``USABLE`` sentences.
 
     Each group is one number a sentence, sorted, so the draws do not hang on the order of arrival; resamples are
     multinomial weights.

@@ -46,7 +46,7 @@ def test_blobs_and_sinks(spark, tmp_path):
     rules = spark.range(1).select(F.lit(True).alias("active"), F.array(F.lit("x"), F.lit("y")).alias("topics"), F.create_map(F.lit("k"), F.lit("v")).alias("extra"))
     files.rule_sink(rules, str(tmp_path / "rules"))
     assert tuple(spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "rules")).first()) == ("TRUE", "x; y", '{"k":"v"}')
-    files.route(rules.select("active"), str(tmp_path / "routed"), ["active"])
+    files.route(spark.range(4).selectExpr("id", "id % 2 AS k"), str(tmp_path / "routed"), ["k"])
 
 
 def test_connector(spark):
