@@ -14,6 +14,8 @@ from corvella.session import shuffle_partitions
 from ._text import ODD, mix, small_batches
 
 K, PARTS, PICKED = 8, 64, 2
+#: Hashes that are ordered at a time.
+TOGETHER = 200_000
 
 
 def code_points(text: str) -> np.ndarray:
@@ -24,13 +26,23 @@ def kmer_hashes(points: np.ndarray, k: int = K) -> np.ndarray:
     """A 64-bit hash at each place of a k-mer; a shorter text is one k-mer."""
     if len(points) < k:
         points = np.concatenate([points, np.full(k - len(points), 0xFFFFFFFF, dtype=np.uint32)])
-    n = len(points) - k + 1
-    total = np.zeros(n, dtype=np.uint64)
-    step = mix(points.astype(np.uint64) + ODD)
-    for j in range(k):
-        total *= np.uint64(0xF1357AEA2E62A9C5)
-        total += step[j : j + n]
-    return mix(total)
+    # runs of powers of two, each of two runs of half its length, and k's own run of those
+    have, width, total, done = mix(points.astype(np.uint64) + ODD), 1, None, 0
+    while True:
+        if k & width:
+            if total is None:
+                total, done = have, width
+            else:
+                n = len(points) - done - width + 1
+                total, done = total[:n] * _power(width) + have[done : done + n], done + width
+        if done == k:
+            return mix(total)
+        n = len(have) - width
+        have, width = have[:n] * _power(width) + have[width : width + n], 2 * width
+
+
+def _power(exponent: int) -> np.uint64:
+    return np.uint64(pow(0xF1357AEA2E62A9C5, exponent, 1 << 64))
 
 
 def numbered(hashes: np.ndarray) -> np.ndarray:
@@ -65,15 +77,15 @@ def signature(text: str, k: int = K, parts: int = PARTS, picked: int = PICKED) -
     picked = min(picked, len(elements))
     tuples = np.empty((parts, picked), dtype=np.int64)
     factors, masks = multipliers(parts)
-    order = np.empty_like(elements)
     top = np.uint32(0xFFFFFFFF)
-    for part in range(parts):
-        np.bitwise_xor(elements, masks[part], out=order)
-        np.multiply(order, factors[part], out=order)
+    together = max(1, TOGETHER // len(elements))  # parts side by side: a short text costs few calls
+    for first in range(0, parts, together):
+        order = (elements[None, :] ^ masks[first : first + together, None]) * factors[first : first + together, None]
+        row = np.arange(len(order))
         for j in range(picked):
-            least = int(order.argmin())
-            tuples[part, j] = least
-            order[least] = top
+            least = order.argmin(axis=1)
+            tuples[first : first + together, j] = least
+            order[row, least] = top
     tuples.sort(axis=1)
     total = np.zeros(parts, dtype=np.uint64)
     for j in range(picked):
