@@ -210,12 +210,12 @@ rep AS (SELECT cluster, arg_min(id, (-d.n_chars, id)) AS representative, count(*
 
 
 def _shingles(documents):
-    return D.shingle_table(documents, min_tokens=20, clean=False)
+    """Of every text with a word; one of fewer than five words meets its copies only."""
+    return D.shingle_table(documents, min_tokens=1, clean=False)
 
 
 def _clusters(documents):
-    s = _shingles(documents)
-    clusters = D.components(D.jaccard_pairs(s), s.select("id").distinct())
+    clusters = D.components(D.jaccard_pairs(_shingles(documents)), documents.select(F.col("doc_id").alias("id")).distinct())
     return clusters, D.representatives(clusters, documents.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length")))
 
 
@@ -232,7 +232,7 @@ def near_duplicate_pairs(documents):
 
 @query("documents", oracle=_SETS + "SELECT id, cluster FROM cl")
 def near_duplicate_clusters(documents):
-    """Components of verified pairs, named by their least id."""
+    """Components of verified pairs over all documents, named by their least id; a text without a word is one of its own."""
     return _clusters(documents)[0].select("id", "cluster")
 
 
