@@ -49,3 +49,9 @@ def test_short_texts_have_clusters(spark, short):
 @pytest.mark.parametrize("name", ["near_duplicate_pairs", "near_duplicate_clusters", "cluster_representatives", "dedup_cluster_summary", "cluster_member_samples"])
 def test_near_duplicates_of_all_texts(spark, short, name):
     same(catalog.QUERIES[name](spark, short[0]), short[1].execute(lifted(name, *ALL_TEXTS)))
+
+
+def test_tf_idf_of_production_features(spark, duck, data):
+    got = catalog.QUERIES["tf_idf_weights"](spark, data)
+    same(got, duck.execute(lifted("tf_idf_weights", ("LIMIT 200", "LIMIT 4096"))))
+    assert got.select("term").distinct().count() == 4096
