@@ -251,7 +251,7 @@ def dedup_cluster_summary(documents):
 
 @query("documents")
 def minhash_lsh_pairs(documents):
-    """Candidate pairs by banded signatures; approximate, so the tests measure recall."""
+    """Candidate pairs by banded signatures; approximate, so a test measures recall against the verified pairs."""
     return D.lsh_pairs(D.minhash(_shingles(documents)))
 
 

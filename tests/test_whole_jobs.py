@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from compare import same
 
+from corvella.operators import dedup as D
 from corvella.plans import catalog
 
 #: Texts of all lengths: copies of one, three, seven and no words, a null, and near copies of 30 words.
@@ -55,3 +56,19 @@ def test_tf_idf_of_production_features(spark, duck, data):
     got = catalog.QUERIES["tf_idf_weights"](spark, data)
     same(got, duck.execute(lifted("tf_idf_weights", ("LIMIT 200", "LIMIT 4096"))))
     assert got.select("term").distinct().count() == 4096
+
+
+def test_recall_of_banded_pairs(spark):
+    rows = []
+    for i in range(100):
+        # 104 words, 100 shingles; the other text is shorter and ends with a word of its own: 83 to 85 of 101 are common
+        base = [f"a{i}x{j}" for j in range(104)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: 104 - 15 - i % 3] + ["changed"]))]
+    shingles = D.shingle_table(spark.createDataFrame(rows, "doc_id long, text string"), min_tokens=1, clean=False)
+    true = {(r["a"], r["b"]) for r in D.jaccard_pairs(shingles).where("jaccard < 0.86").collect()}
+    assert len(true) == 100
+    signatures = D.minhash(shingles)
+    found = {(r["a"], r["b"]) for r in D.lsh_pairs(signatures).collect()}
+    assert len(true & found) / len(true) >= 0.9
+    reference = {(r["a"], r["b"]) for r in D.lsh_pairs(signatures, D.REFERENCE_BANDS, D.REFERENCE_ROWS).collect()}
+    assert len(true & reference) / len(true) < 0.9
