@@ -119,9 +119,13 @@ def grid_alpha(log_probs: DataFrame, keys: tuple[str, ...], steps: int = 99) ->
 
 
 def shrink(counts: DataFrame, pool: DataFrame, kappa: float, key: str) -> DataFrame:
-    """(key, word, p): (kappa mu + n_w) / (kappa + n), at least 1e-10; ``counts`` has key, word, count, n."""
-    p = (kappa * F.col("mu") + F.col("count")) / (kappa + F.col("n"))
-    return counts.join(pool, "word").select(key, "word", F.greatest(p, F.lit(1e-10)).alias("p"))
+    """(key, word, p): (kappa mu + n_w) / (kappa + n), at least 1e-10, of every word of the pool for every key, also of
+    those that the key never uses; ``counts`` has key, word, count, n."""
+    whole = counts.select(key, "n").distinct().crossJoin(F.broadcast(pool))  # the pool is the fitted vocabulary
+    used = counts.select(F.col(key).alias("k"), F.col("word").alias("w"), "count")
+    joined = whole.join(used, F.col(key).eqNullSafe(F.col("k")) & (F.col("word") == F.col("w")), "left")
+    p = (kappa * F.col("mu") + F.coalesce("count", F.lit(0))) / (kappa + F.col("n"))
+    return joined.select(key, "word", F.greatest(p, F.lit(1e-10)).alias("p"))
 
 
 def beta_binomial(counts: DataFrame, kappa: float) -> DataFrame:

@@ -227,7 +227,7 @@ def mixture_fraction_bootstrap(documents, labels):
 cw AS (SELECT source, word, count(*) AS c FROM w GROUP BY 1, 2)
 SELECT source, word, round(greatest((700 * mu + c) / (700 + a.n), 1e-10), 9) AS p FROM cw JOIN pool USING (word) JOIN a USING (source)""")
 def empirical_bayes_shrinkage(documents, labels):
-    """Word rates of each source drawn to the pool."""
+    """Rates of the whole vocabulary in each source, drawn to the pool."""
     sent, dist, _ = _usage(documents, labels)
     pool = dist.select("word", F.exp("log_p").alias("mu"))
     counts = U.presence_counts(sent, ("source",)).join(sent.groupBy("source").agg(F.count("*").alias("n")), "source")

@@ -8,6 +8,7 @@ import pytest
 from compare import same
 
 from corvella.operators import dedup as D
+from corvella.operators import usage as U
 from corvella.plans import catalog
 
 #: Texts of all lengths: copies of one, three, seven and no words, a null, and near copies of 30 words.
@@ -72,3 +73,12 @@ def test_recall_of_banded_pairs(spark):
     assert len(true & found) / len(true) >= 0.9
     reference = {(r["a"], r["b"]) for r in D.lsh_pairs(signatures, D.REFERENCE_BANDS, D.REFERENCE_ROWS).collect()}
     assert len(true & reference) / len(true) < 0.9
+
+
+def test_shrinkage_covers_the_vocabulary(spark, duck, data):
+    counts = spark.createDataFrame([("a", "x", 3, 10), ("a", "y", 1, 10), ("b", "y", 2, 4)], "source string, word string, count long, n long")
+    pool = spark.createDataFrame([("x", 0.2), ("y", 0.1), ("z", 0.3)], "word string, mu double")
+    got = {(r["source"], r["word"]): r["p"] for r in U.shrink(counts, pool, 10.0, "source").collect()}
+    assert got == pytest.approx({("a", "x"): 5 / 20, ("a", "y"): 2 / 20, ("a", "z"): 3 / 20, ("b", "x"): 2 / 14, ("b", "y"): 3 / 14, ("b", "z"): 3 / 14})
+    whole = ("(700 * mu + c) / (700 + a.n), 1e-10), 9) AS p FROM cw JOIN pool USING (word) JOIN a USING (source)", "(700 * mu + coalesce(c, 0)) / (700 + a.n), 1e-10), 9) AS p FROM a CROSS JOIN pool LEFT JOIN cw USING (source, word)")
+    same(catalog.QUERIES["empirical_bayes_shrinkage"](spark, data), duck.execute(lifted("empirical_bayes_shrinkage", whole)))
