@@ -15,6 +15,8 @@ from corvella.functions import text as T
 USABLE = 10
 #: The log-likelihood of a word outside the vocabulary in the present-only variant.
 OUTSIDE = -13.8
+#: Bootstrap resamples, as many as the reference draws.
+BOOTSTRAPS = 1000
 
 
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,14 +70,16 @@ def posterior(log_p: Column, log_q: Column, alpha: Column) -> Column:
     return F.when(alpha <= 0, 0.0).when(alpha >= 1, 1.0).otherwise(1 / (1 + F.exp(-odds)))
 
 
-def fit_alpha(log_ratio: np.ndarray, low: float = 1e-6, high: float = 1 - 1e-6, prior: tuple[float, float] | None = None) -> float:
+def fit_alpha(log_ratio: np.ndarray, low: float = 1e-6, high: float = 1 - 1e-6, prior: tuple[float, float] | None = None, weights: np.ndarray | None = None) -> float:
     """The alpha that maximizes mean log((1 - alpha) + alpha r), plus a Beta prior where one is given, by bisection on
-    its falling derivative."""
+    its falling derivative. With ``weights`` each ratio counts so many times."""
     r = np.exp(np.clip(log_ratio, -700, 700))
+    weights = np.ones(len(r)) if weights is None else weights
+    n, gain = float(weights.sum()), weights * (r - 1)
 
     def slope(a: float) -> float:
-        got = float(np.mean((r - 1) / np.maximum((1 - a) + a * r, 1e-300)))
-        return got if prior is None else got + ((prior[0] - 1) / a - (prior[1] - 1) / (1 - a)) / len(r)
+        got = float(np.sum(gain / np.maximum((1 - a) + a * r, 1e-300))) / n
+        return got if prior is None else got + ((prior[0] - 1) / a - (prior[1] - 1) / (1 - a)) / n
 
     if slope(low) <= 0:
         return low
@@ -87,7 +91,7 @@ def fit_alpha(log_ratio: np.ndarray, low: float = 1e-6, high: float = 1 - 1e-6,
     return (low + high) / 2
 
 
-def mixture(log_probs: DataFrame, keys: tuple[str, ...], bootstraps: int = 200, seed: int = 42) -> DataFrame:
+def mixture(log_probs: DataFrame, keys: tuple[str, ...], bootstraps: int = BOOTSTRAPS, seed: int = 42) -> DataFrame:
     """(keys, n_sentences, alpha, ci_lower, ci_upper) of each stratum; null below ``USABLE`` sentences.
 
     Each group is one number a sentence, sorted, so the draws do not hang on the order of arrival; resamples are
@@ -100,7 +104,8 @@ def mixture(log_probs: DataFrame, keys: tuple[str, ...], bootstraps: int = 200,
             fitted = [math.nan] * 3
         else:
             rng = np.random.default_rng(seed)
-            draws = [fit_alpha(np.repeat(ratio, rng.multinomial(len(ratio), np.full(len(ratio), 1 / len(ratio))))) for _ in range(bootstraps)]
+            share = np.full(len(ratio), 1 / len(ratio))
+            draws = [fit_alpha(ratio, weights=rng.multinomial(len(ratio), share)) for _ in range(bootstraps)]
             fitted = [fit_alpha(ratio), *np.percentile(draws, [2.5, 97.5])]
         return pd.DataFrame([[*key, len(ratio), *fitted]], columns=[*keys, "n_sentences", "alpha", "ci_lower", "ci_upper"])
 

@@ -219,8 +219,8 @@ def grid_mixture_fraction(documents, labels):
 
 @query("documents", "labels")
 def mixture_fraction_bootstrap(documents, labels):
-    """The fitted share of each source with a bootstrap interval."""
-    return U.mixture(_usage(documents, labels)[2], ("source",), bootstraps=50)
+    """The fitted share of each source with an interval of 1,000 bootstrap resamples."""
+    return U.mixture(_usage(documents, labels)[2], ("source",))
 
 
 @query("documents", "labels", oracle=_USAGE + """, pool AS (SELECT word, human_count / nh AS mu FROM dist, n), a AS (SELECT source, count(*) AS n FROM sent GROUP BY 1),

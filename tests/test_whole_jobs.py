@@ -4,6 +4,7 @@ The registered SQL of some of them still has the cut; it is lifted in this file
 """
 
 import duckdb
+import numpy as np
 import pytest
 from compare import same
 
@@ -82,3 +83,16 @@ def test_shrinkage_covers_the_vocabulary(spark, duck, data):
     assert got == pytest.approx({("a", "x"): 5 / 20, ("a", "y"): 2 / 20, ("a", "z"): 3 / 20, ("b", "x"): 2 / 14, ("b", "y"): 3 / 14, ("b", "z"): 3 / 14})
     whole = ("(700 * mu + c) / (700 + a.n), 1e-10), 9) AS p FROM cw JOIN pool USING (word) JOIN a USING (source)", "(700 * mu + coalesce(c, 0)) / (700 + a.n), 1e-10), 9) AS p FROM a CROSS JOIN pool LEFT JOIN cw USING (source, word)")
     same(catalog.QUERIES["empirical_bayes_shrinkage"](spark, data), duck.execute(lifted("empirical_bayes_shrinkage", whole)))
+
+
+def test_bootstrap_draws_as_often_as_the_reference(spark, data, monkeypatch):
+    ratio = np.random.default_rng(3).normal(0, 2, 40)
+    weights = np.random.default_rng(4).multinomial(40, np.full(40, 1 / 40))
+    assert U.fit_alpha(ratio, weights=weights) == pytest.approx(U.fit_alpha(np.repeat(ratio, weights)), abs=1e-9)
+    frame = spark.createDataFrame([("s", 0.0, float(x)) for x in ratio], "source string, log_p double, log_q double")
+    got, thousand = (U.mixture(frame, ("source",), **kind).first() for kind in ({}, {"bootstraps": 1000}))
+    assert got == thousand
+    drawn = []
+    monkeypatch.setattr(U, "mixture", lambda log_probs, keys, bootstraps=U.BOOTSTRAPS, seed=42: drawn.append(bootstraps))
+    catalog.QUERIES["mixture_fraction_bootstrap"](spark, data)
+    assert drawn == [1000]
