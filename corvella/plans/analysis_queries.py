@@ -180,7 +180,7 @@ def _usage(documents, labels):
 @query("documents", "labels", oracle=_USAGE + "SELECT source, word, count(*) AS count FROM w GROUP BY 1, 2 HAVING count(*) >= 20")
 def word_presence_by_source(documents, labels):
     """In how many sentences of each source a word stands."""
-    return U.presence_counts(_usage(documents, labels)[0], ("source",)).where("count >= 20")
+    return U.presence_counts(_usage(documents, labels)[0], ("source",))
 
 
 @query("documents", "labels", oracle=_USAGE + "SELECT word, human_count, ai_count, round(log_p, 9) AS log_p, round(log_q, 9) AS log_q, round(log_p - m_p - log_q + m_q, 7) AS lor FROM dist")

@@ -221,7 +221,7 @@ def _clusters(documents):
 
 @query("documents", oracle=_SETS + "SELECT g AS shingle, count(*) AS df FROM s GROUP BY 1 HAVING count(*) >= 3")
 def shingle_document_frequency(documents):
-    return D.document_frequency(_shingles(documents)).where("df >= 3")
+    return D.document_frequency(_shingles(documents))
 
 
 @query("documents", oracle=_SETS + "SELECT a, b, round(j, 9) AS jaccard FROM p")

@@ -96,3 +96,8 @@ def test_bootstrap_draws_as_often_as_the_reference(spark, data, monkeypatch):
     monkeypatch.setattr(U, "mixture", lambda log_probs, keys, bootstraps=U.BOOTSTRAPS, seed=42: drawn.append(bootstraps))
     catalog.QUERIES["mixture_fraction_bootstrap"](spark, data)
     assert drawn == [1000]
+
+
+def test_rare_words_and_shingles_are_counted(spark, short, duck, data):
+    same(catalog.QUERIES["word_presence_by_source"](spark, data), duck.execute(lifted("word_presence_by_source", (" HAVING count(*) >= 20", ""))))
+    same(catalog.QUERIES["shingle_document_frequency"](spark, short[0]), short[1].execute(lifted("shingle_document_frequency", (" HAVING count(*) >= 3", ""), *ALL_TEXTS)))
