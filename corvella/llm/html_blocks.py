@@ -24,8 +24,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("ul ol menu dl table tbody thead tfoot select div section article".split())
 
+#: The name of a raw element ends at a blank, a slash or the bracket: <svg-icon> is none. A self-closed <svg/> is empty.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>|([^<]+)|<",
+    r"<!--.*?(?:-->|\Z)|<svg(?:(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>|<(script|style|noscript|template|svg|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>|([^<]+)|<",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)

@@ -427,3 +427,12 @@ def test_page_edges(spark, reader):
 def test_held_out_is_zlibs(spark):
     got = spark.range(200).select("id", held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
+
+
+def test_icons_do_not_end_the_page():
+    texts = lambda page: [leaf.text for leaf in html_blocks.leaves(page)]
+    for icon in ('<svg-icon name="x"></svg-icon>', "<template-card></template-card>", '<svg class="i" viewBox="0 0 9 9"/>', "<svg/>", '<SVG data-x="a>b" />'):
+        assert texts(f"<p>head</p>{icon}<p>body</p>") == ["head", "body"]
+        assert texts(f"<p>head</p>{icon}<p>body</p><svg><text>no</text></svg><p>end</p>") == ["head", "body", "end"]
+    assert texts("<p>a</p><svg viewBox='0'><path d='x'/><title>no</title></svg><p>b</p><script src=x/>no</script><p>c</p>") == ["a", "b", "c"]
+    assert texts('<p>a</p><svg data-x="a/>b"><title>no</title></svg><p>b</p>') == ["a", "b"]
