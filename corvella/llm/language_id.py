@@ -7,14 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import held_out, pieces, small_batches, utf8
 
 BUCKETS = 1 << 12
-#: Rows a language that training reads at most; fewer languages than LANGUAGES are learned, the most frequent.
-SAMPLE, LANGUAGES = 800, 64
+#: Rows a language that training reads at most; every language is learned.
+SAMPLE = 800
 
 #: Families of ISO 639-1 codes. A code that is not here is a family of its own.
 FAMILIES = {
@@ -74,12 +74,13 @@ def grams(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
     """Squared-hinge linear support vector machine, y in {-1, 1}, by accelerated full gradients; classes weigh alike."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w = ahead = np.zeros(x.shape[1])
+    w = ahead = np.zeros(x.shape[1] + 1)  # the bias is last
     rate, momentum = 1 / (2 * 2.0 + penalty), 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        fresh = ahead - rate * (penalty * ahead - 2 * x.T @ (weight * y * slack))
+        # products in the type of x, so that no wider copy of it is made
+        slack = np.maximum(0, 1 - y * (x @ ahead[:-1].astype(x.dtype) + ahead[-1]))
+        pull = weight * y * slack
+        fresh = ahead - rate * (penalty * ahead - 2 * np.append(pull.astype(x.dtype) @ x, pull.sum()))
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         w, ahead, momentum = fresh, fresh + (momentum - 1) / following * (fresh - w), following
     return w[:-1].astype(np.float32), float(w[-1])
@@ -133,28 +134,34 @@ class Hierarchy:
 
 
 def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Hierarchy | None:
-    """Fit on at most ``sample`` rows a language, those least by a hash of id and text; executors turn them into
+    """Fit on at most ``sample`` rows of every language, those least by a hash of id and text; executors turn them into
     vectors before the driver sees them. None where no row has a language."""
 
+    def packed(row: np.ndarray) -> bytes:
+        slots = np.flatnonzero(row)
+        return row[slots].tobytes() + slots.astype(np.uint16).tobytes()
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = utf8(batch.column(1))
             for first, last in pieces(offsets):
                 got = grams(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                yield pa.record_batch([batch.column(0).slice(first, last - first), pa.array([row.tobytes() for row in got], pa.binary())], names=["lang", "vector"])
+                yield pa.record_batch([batch.column(0).slice(first, last - first), pa.array([packed(row) for row in got], pa.binary())], names=["lang", "vector"])
 
     rows = small_batches(labelled).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("o")).where("lang is not null and text rlike '\\\\p{L}'")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    # about twice the sample by a threshold on the hash, then the least: no sort of all rows
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.floor(share * 1_000_000) + 1).alias("below"))
+    near = rows.join(F.broadcast(counts), "lang").where(F.pmod("o", F.lit(1_000_000)) < F.col("below"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= sample)
+    got = sorted(chosen.select("lang", "text").mapInArrow(vectors, "lang string, vector binary").collect())
+    if not got:
         return None
-    chosen = None
-    for lang, count in counts:
-        # about twice the sample by a threshold on the hash, then the least: no sort of all rows
-        share = min(1.0, 2 * sample / count)
-        own = rows.where((F.col("lang") == lang) & (F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000) + 1)).orderBy("o", "text").limit(sample)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    got = chosen.select("lang", "text").mapInArrow(vectors, "lang string, vector binary").collect()
-    x = np.stack([np.frombuffer(row["vector"], dtype=np.float32) for row in got])
+    x = np.zeros((len(got), BUCKETS), dtype=np.float32)
+    for at, row in enumerate(got):
+        n = len(row["vector"]) // 6
+        x[at, np.frombuffer(row["vector"], np.uint16, n, 4 * n)] = np.frombuffer(row["vector"], np.float32, n)
     return Hierarchy(x, [row["lang"] for row in got])
 
 

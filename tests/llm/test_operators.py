@@ -436,3 +436,13 @@ def test_icons_do_not_end_the_page():
         assert texts(f"<p>head</p>{icon}<p>body</p><svg><text>no</text></svg><p>end</p>") == ["head", "body", "end"]
     assert texts("<p>a</p><svg viewBox='0'><path d='x'/><title>no</title></svg><p>b</p><script src=x/>no</script><p>c</p>") == ["a", "b", "c"]
     assert texts('<p>a</p><svg data-x="a/>b"><title>no</title></svg><p>b</p>') == ["a", "b"]
+
+
+def test_every_language_is_learned(spark):
+    tags = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(68)] + ["pt-BR", "pt-PT"]
+    rows = [(5 * i + j, f"{tag} {tag[::-1]} " * 20 + f"w{j}", tag) for i, tag in enumerate(tags) for j in range(5 if i else 1)]
+    docs = spark.createDataFrame([*rows, (999, "no language", None)], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert sorted(lang for family in model.families.values() for lang in family) == sorted(tags)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.98
