@@ -24,12 +24,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``; a local session that names none gets a folder of its own, a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file:///tmp/checkpoints/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/checkpoints/{os.getpid()}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -44,6 +45,14 @@ def materialize(df, label: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stable(df, label: str):
+    """``df`` where it only selects and filters rows of files, whose order a task that runs again finds unchanged; else a written copy."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return df if node.nodeName() in ("LogicalRelation", "Relation") else materialize(df, label)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
