@@ -2,9 +2,9 @@
 
 A passage is ``length`` bytes. Each window of that many bytes is assigned to the k-mer of least hash in it, so equal
 windows have equal k-mers whatever stands around them; neighbouring windows of one k-mer make a *strand*. Strands
-whose k-mer occurs in one document only cannot repeat and are left out. The others meet by k-mer: there, shards of
-strands have their transforms built and merged by interleave refinement, which gives common prefixes and the intervals
-of repeated windows.
+whose k-mer occurs in one document only cannot repeat and are left out. Of the others, each shard of the corpus builds
+Burrows-Wheeler transforms, one for each range of k-mers; the transforms of a range, from all shards, are merged by interleave
+refinement, which gives common prefixes and the intervals of repeated windows without sorting a suffix again.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.session import shuffle_partitions
+from corvella.session import shuffle_partitions, stable
 
 from ._text import ODD, mix, pieces, small_batches, utf8
 
@@ -29,8 +29,6 @@ LENGTH, KMER = 50, 20
 FILTER_BITS = 1 << 27
 #: Bytes of text hashed at a time: places in it fit the low bits of a key.
 STRETCH_BITS = 21
-#: Strand bytes that one shard's transform is built over.
-SHARD = 1 << 16
 FACTOR = np.uint64(0xF1357AEA2E62A9C5)
 INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
 _TABLE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * ODD)
@@ -138,85 +136,135 @@ def strand_hashes(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
     return out
 
 
+def transforms(flat: np.ndarray, start: np.ndarray, size: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """The Burrows-Wheeler transforms of shards of strings, one after the other: the symbol before each suffix of a shard, in
+    order of the suffixes. A symbol is a byte and one more; 0 ends a string, and ends sort as their strings do.
+
+    ``shard`` numbers the shard of each string, in order, below 256. Suffixes are sorted by seven symbols, then by prefix
+    doubling among those still alike. UTF-8 has neither 0xFE nor 0xFF; they count as one symbol.
+    """
+    total = size + 1
+    begin = np.cumsum(total) - total
+    text = np.zeros(int(total.sum()), dtype=np.uint8)
+    text[_ragged(begin, size)] = np.minimum(flat[_ragged(start, size)], 254) + np.uint8(1)
+    key = text.astype(np.uint64)
+    for width in (1, 2, 4):
+        beyond = np.zeros_like(key)
+        beyond[:-width] = key[width:]
+        beyond[key & np.uint64(255) == 0] = 0
+        key = (key << np.uint64(8 * width)) | beyond
+    key = (key >> np.uint64(8)) | (np.repeat(shard.astype(np.uint64), total) << np.uint64(56))
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.concatenate(([True], key[1:] != key[:-1], [True]))
+    rank = np.empty(len(text), dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(len(text)), 0))
+    alike = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
+    string, last = np.repeat(np.arange(len(size)), total), np.repeat(begin + size, total)
+    width = 7
+    while len(alike):
+        here = order[alike]
+        further = here + width
+        inside = further <= last[here]
+        further[~inside] = 0
+        pair = (rank[here] << 32) | np.where(inside, rank[further] + len(size), string[here])
+        by = np.argsort(pair)
+        here, pair = here[by], pair[by]
+        fresh = np.concatenate(([True], pair[1:] != pair[:-1], [True]))
+        order[alike] = here
+        rank[here] = np.maximum.accumulate(np.where(fresh[:-1], alike, 0))
+        alike = alike[~(fresh[:-1] & fresh[1:])]
+        width *= 2
+    return text[order - 1]
+
+
 class Merged:
     """Burrows-Wheeler transforms of shards of strings, merged.
 
-    Each shard's suffixes are sorted by prefix doubling. The merge starts with the shards' rows one shard after the
-    other; each refinement deals the rows out by the symbol before them, in order, which sorts them by one more byte.
-    No suffix is compared again. Rows that stay in one block share a prefix as long as the refinements done, so after
-    ``depth`` of them the blocks are the intervals of repeated strings of that length.
+    The merge starts with the shards' rows one shard after the other; a refinement deals the rows out by the symbols before
+    them, in order, which sorts them by so many more symbols. No suffix is sorted or compared again. Rows that stay in one
+    block share a prefix as long as the refinements done: ``common`` holds, for each row, how many symbols it shares with the
+    row above, to the last refinement that kept them together and ``depth`` at most. The blocks after ``depth`` symbols
+    are the intervals of repeated strings of that length. Every string takes part, with the value that stands for its copies;
+    nothing is decided but by the merged transform.
     """
 
-    def __init__(self, strings: list[bytes], depth: int, shard_bytes: int = SHARD):
-        flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    def __init__(self, strings: list[bytes], depth: int, shard_bytes: int = 1 << 16):
         size = np.array([len(s) for s in strings])
-        used = np.flatnonzero(np.bincount(flat, minlength=256))
-        kind = np.uint8 if len(used) < 255 else np.uint16
-        code = np.zeros(256, dtype=kind)
-        code[used] = np.arange(1, len(used) + 1)
-        total = size + 1
-        begin = np.cumsum(total) - total
-        text = np.zeros(int(total.sum()), dtype=kind)  # 0 ends a string
-        body = np.ones(len(text), dtype=bool)
-        body[begin + size] = False
-        text[body] = code[flat]
-        shard_of = (np.cumsum(total) - 1) // shard_bytes
-        edges = np.flatnonzero(np.concatenate(([True], shard_of[1:] != shard_of[:-1])))
-        bounds = np.append(begin[edges], len(text))
-        suffix, before, shard = [], [], []
-        for j, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            order = self._sorted_suffixes(text[a:b], depth)
-            own = text[a:b]
-            suffix.append(order + a)
-            before.append(own[order - 1])  # of the first string's start: the last byte, an end
-            shard.append(np.full(b - a, j, dtype=np.uint16 if len(bounds) < 1 << 16 else np.int32))
-        self.suffix, bwt, of = np.concatenate(suffix), np.concatenate(before), np.concatenate(shard)
-        first_row = bounds[:-1]
-        rows, block = np.arange(len(text), dtype=np.int32), np.zeros(len(text), dtype=np.int32)
-        change = np.ones(len(text), dtype=bool)
-        for _ in range(depth):
-            symbol = bwt[rows]
-            order = np.argsort(symbol, kind="stable")
-            symbol, block, dealt = symbol[order], block[order], of[rows[order]]
-            change[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-            change[: int(np.searchsorted(symbol, 1))] = True  # ends are all different
-            block = np.cumsum(change, dtype=np.int32)
-            rows = np.empty_like(rows)
-            rows[np.argsort(dealt, kind="stable")] = np.arange(len(text), dtype=np.int32)  # each shard's rows stay in order
-        self.rows, self.block, self.begin, self.size, self.first_row = rows, block, begin, size, first_row
+        shard = (np.cumsum(size + 1) - 1) // shard_bytes
+        shard = np.cumsum(np.concatenate(([0], shard[1:] != shard[:-1])))
+        flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        self._merge(transforms(flat, np.cumsum(size) - size, size, shard), size, np.bincount(shard), depth)
 
-    @staticmethod
-    def _sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-        n = len(text)
-        ends = text == 0
-        rank = text.astype(np.int64) + int(ends.sum())
-        rank[ends] = np.arange(int(ends.sum()))
-        width = 1
+    @classmethod
+    def of_transforms(cls, bwt: np.ndarray, size: np.ndarray, strings: np.ndarray, depth: int) -> Merged:
+        """From transforms one after the other, the sizes of all strings and the number of strings in each shard."""
+        out = cls.__new__(cls)
+        out._merge(bwt, size, strings, depth)
+        return out
+
+    def _merge(self, bwt: np.ndarray, size: np.ndarray, strings: np.ndarray, depth: int) -> None:
+        shard_of = np.repeat(np.arange(len(strings), dtype=np.uint16 if len(strings) <= 1 << 16 else np.int64), strings)
+        rows_of = np.bincount(shard_of, weights=size + 1, minlength=len(strings)).astype(np.int64)
+        first_row = np.cumsum(rows_of) - rows_of
+        by = np.argsort(bwt, kind="stable")
+        if len(strings) > 1:
+            by = by[np.argsort(np.repeat(np.arange(len(strings), dtype=shard_of.dtype), rows_of)[by], kind="stable")]
+        back = np.empty(len(bwt), dtype=np.int64)  # the row of the suffix that is one symbol longer
+        back[by] = np.arange(len(bwt))
+        # walk from the ends: which string and place each row stands for
+        self.owner, self.place = np.empty(len(bwt), dtype=np.int32), np.empty(len(bwt), dtype=np.int32)
+        alive, left = np.arange(len(size)), size.astype(np.int32)
+        at = first_row[shard_of] + alive - (np.cumsum(strings) - strings)[shard_of]
         while True:
-            second = np.zeros(n, dtype=np.int64)
-            second[:-width] = rank[width:] + 1 if width < n else 0
-            keyed = rank * (n + 512) + second
-            order = np.argsort(keyed, kind="stable")
-            ranked = keyed[order]
-            fresh = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = fresh
-            width *= 2
-            if width > depth or fresh[-1] == n - 1:
-                return order
+            self.owner[at], self.place[at] = alive, left
+            more = left > 0
+            if not more.all():
+                at, alive, left = at[more], alive[more], left[more]
+            if not len(at):
+                break
+            at, left = back[at], left - 1
+        # a key holds the symbols before a row, the last read one first, and the row's present position
+        bits = len(bwt).bit_length()
+        together = max(1, min(depth, (64 - bits) // 8))
+        symbols, step, steps = np.zeros(len(bwt), dtype=np.uint64), np.arange(len(bwt)), [np.arange(len(bwt))]
+        for j in range(together):
+            symbols |= bwt[step].astype(np.uint64) << np.uint64(8 * j)
+            step = back[step]
+            if j + 1 in (together, depth % together):
+                steps.append(step)
+        rows, block, place = np.arange(len(bwt)), np.zeros(len(bwt), dtype=np.int32), np.arange(len(bwt), dtype=np.uint64)
+        self.common = np.zeros(len(bwt), dtype=np.int32)
+        change = np.ones(len(bwt), dtype=bool)
+        ones = np.uint64(int("01" * together, 16))
+        done = 0
+        while done < depth:
+            taken = depth % together if not done and depth % together else together
+            key = symbols[rows]
+            if taken < together:
+                key &= np.uint64((1 << 8 * taken) - 1)
+            key = (key << np.uint64(bits)) | place
+            key.sort()
+            order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+            key >>= np.uint64(bits)
+            block, rows = block[order], steps[1 if taken < together else -1][rows[order]]
+            change[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+            low = ones if taken == together else np.uint64(int("01" * taken, 16))
+            change |= (key - low) & ~key & (low << np.uint64(7)) != 0  # a symbol is an end, and ends are all different
+            block = np.cumsum(change, dtype=np.int32)
+            self.common += ~change * np.int32(taken)
+            done += taken
+        self.rows, self.starts, self.size = rows, np.flatnonzero(change), size
 
     def least(self, value: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """For the first ``windows`` places of each string, one after the other, the least ``value`` of a string that
-        holds the same bytes there."""
-        suffix = self.suffix[self.rows]
-        owner = np.searchsorted(self.begin, suffix, side="right") - 1
-        starts = np.flatnonzero(np.concatenate(([True], self.block[1:] != self.block[:-1])))
-        low = np.minimum.reduceat(value[owner], starts)
-        by_row = np.repeat(low, np.diff(np.append(starts, len(suffix))))
-        place = suffix - self.begin[owner]
-        inside = place < windows[owner]
+        holds the same symbols there."""
+        inside = self.place < windows[self.owner]
+        low = np.minimum.reduceat(np.where(inside, value[self.owner], np.iinfo(value.dtype).max)[self.rows], self.starts)
+        by_row = np.empty(len(self.rows), dtype=value.dtype)
+        by_row[self.rows] = np.repeat(low, np.diff(np.append(self.starts, len(self.rows))))
         out = np.empty(int(windows.sum()), dtype=value.dtype)
-        out[(np.cumsum(windows) - windows)[owner[inside]] + place[inside]] = by_row[inside]
+        out[(np.cumsum(windows) - windows)[self.owner[inside]] + self.place[inside]] = by_row[inside]
         return out
 
 
@@ -265,105 +313,75 @@ class KeyFilter:
         return found
 
 
-#: Bytes of text whose strands are dealt out together.
-PIECE = 8 << 20
-#: Strand bytes merged at a time; strands of one k-mer stay together.
-TOGETHER = 1 << 20
-#: k-mer ranges for each shuffle partition: a range is what one call resolves, so it bounds a worker's memory.
+#: Bytes of text whose strands are dealt out together: a shard of the corpus, whose transforms its task builds.
+PIECE = 16 << 20
+#: Bytes of strands of all shards that are merged at a time; it bounds a worker's memory.
+BUCKET = 1 << 19
+#: Ranges of k-mers for each shuffle partition in the search for shared ones.
 RANGES = 4
-STRAND_SCHEMA = "bucket int, piece long, keys binary, sums binary, sizes binary, leads binary, text binary, times binary, doc binary, start binary, owner binary, ids binary"
+DEALT_SCHEMA = "bucket int, piece long, first long, transform binary, sizes binary, least binary, string binary, docs binary, starts binary, marks binary"
+ANSWER_SCHEMA = "piece long, listed boolean, string binary, low binary, first binary, last binary, docs binary, starts binary, marks binary"
 
 
 def _squeeze(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(x.tobytes())
 
 
 def _spread(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=kind)
 
 
-def _sides(text: np.ndarray, begin: np.ndarray, size: np.ndarray, lead: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``reach`` bytes before and after each strand's k-mer, and 0 where a strand has fewer."""
-    out = []
-    for at, enough in ((begin + lead - reach, lead >= reach), (begin + lead + k, lead + k + reach <= size)):
-        total = np.zeros(len(begin), dtype=np.uint64)
-        for j in range(reach):
-            total = total * FACTOR + _TABLE[text[np.where(enough, at + j, 0)]]
-        out.append(np.where(enough, mix(total) | np.uint64(1), np.uint64(0)))
-    return out[0], out[1]
-
-
-def _alike(group: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Which rows share their group and a side with another row."""
-    order = np.lexsort((side, group))
-    g, s = group[order], side[order]
-    same = (g[1:] == g[:-1]) & (s[1:] == s[:-1]) & (s[1:] != 0)
-    out = np.zeros(len(group), dtype=bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before, in columns that are sorted together."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
     return out
 
 
-def _resolve(keys, sums, sizes, leads, text, occ_strand, occ_id, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For whole k-mer groups: of each occurrence of a strand, the runs of windows that also start in a document of
-    smaller id, as (occurrence, first window, last window)."""
-    order = np.lexsort((sums, keys))
-    a, b = keys[order], sums[order]
-    fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    of = np.empty(len(keys), dtype=np.int64)
-    of[order] = np.cumsum(fresh) - 1
-    heads = order[fresh]  # a strand for each distinct one
-    strand = of[occ_strand]
-    by = np.argsort(strand, kind="stable")
-    least = np.minimum.reduceat(occ_id[by], np.searchsorted(strand[by], np.arange(len(heads))))
-    key, size, begin = keys[heads], sizes[heads], (np.cumsum(sizes) - sizes)[heads]
-    windows = size - (length - 1)
-    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
-    several = np.bincount(group)[group] > 1
-    some = np.flatnonzero(several)
-    if len(some):
-        # a window reaches half of what is left beyond the k-mer on one side at least: strands that share neither
-        # side with another of their k-mer share no window
-        before, after = _sides(text, begin[some], size[some], leads[heads[some]], k, (length - k) // 2)
-        several[some] = _alike(group[some], before) | _alike(group[some], after)
-    chosen = np.flatnonzero(several)
-    first = np.cumsum(windows[chosen]) - windows[chosen]
-    lows = np.empty(int(windows[chosen].sum()), dtype=np.int64)
-    if len(chosen):
-        weight = np.cumsum(size[chosen])
-        cut, taken = [0], 0
-        for at in (np.flatnonzero(group[chosen][1:] != group[chosen][:-1]) + 1).tolist():
-            if weight[at - 1] - taken >= TOGETHER:
-                cut.append(at)
-                taken = weight[at - 1]
-        for x, y in zip(cut, [*cut[1:], len(chosen)], strict=True):
-            part = chosen[x:y]
-            strings = [text[p : p + n].tobytes() for p, n in zip(begin[part].tolist(), size[part].tolist(), strict=True)]
-            lows[_ragged(first[x:y], windows[part])] = Merged(strings, length).least(least[part], windows[part])
-    whole = np.flatnonzero(~several[strand] & (least[strand] < occ_id))
-    found = [(whole, np.zeros(len(whole), dtype=np.int64), windows[strand[whole]] - 1)]
-    place_of = np.full(len(heads), -1, dtype=np.int64)
-    place_of[chosen] = np.arange(len(chosen))
-    mixed = np.flatnonzero(several[strand])
-    for x in range(0, len(mixed), 1 << 17):
-        occ = mixed[x : x + (1 << 17)]
-        at, span = place_of[strand[occ]], windows[strand[occ]]
-        window = _ragged(np.zeros(len(occ), dtype=np.int64), span)
-        owner = np.repeat(np.arange(len(occ)), span)
-        gone = lows[np.repeat(first[at], span) + window] < occ_id[occ][owner]
-        edge = np.concatenate(([True], owner[1:] != owner[:-1]))
-        opens = gone & (edge | ~np.concatenate(([False], gone[:-1])))
-        closes = gone & (np.append(edge[1:], True) | ~np.append(gone[1:], False))
-        found.append((occ[owner[opens]], window[opens], window[closes]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+def _groups(bucket: np.ndarray, size: np.ndarray, limit: int = BUCKET) -> Iterator[tuple[int, int]]:
+    """Ranges of strings, sorted by bucket, of whole buckets: about ``limit`` bytes and fewer than 256 buckets each."""
+    edges = np.append(np.flatnonzero(_heads(bucket)), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
+    weight = np.concatenate(([0], np.cumsum(size + 1)))[edges]
+    first = 0
+    while first < len(edges) - 1:
+        last = max(first + 1, int(np.searchsorted(weight, weight[first] + limit, side="right")) - 1)
+        last = min(last, first + 255, len(edges) - 1)
+        yield int(edges[first]), int(edges[last])
+        first = last
+
+
+def _runs_below(lows: np.ndarray, least: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows of one string with one ``lows`` below the string's own: string, low, first and last window."""
+    string = np.repeat(np.arange(len(windows)), windows)
+    place = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
+    edge = np.flatnonzero(_heads(string, lows))
+    string, low, first, last = string[edge], lows[edge], place[edge], place[np.append(edge[1:], len(lows)) - 1]
+    below = low < least[string]
+    return string[below], low[below], first[below], last[below]
 
 
 def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = KMER) -> DataFrame:
-    """(id, mark, starts, ends): byte spans covered by repeated windows, as 64-bit integers; ``mark`` is the text's hash."""
+    """(id, mark, starts, ends): byte spans covered by repeated windows, as 64-bit integers; ``mark`` is the text's hash.
+
+    Every row of ``docs`` with an id and a text of ``length`` bytes or more takes part, rows of one id without counting
+    against each other. A row for each document that loses something; a repeated row may have several, each whole. Null and
+    empty texts and null ids have none, an empty table gives no rows, and other columns are not read. ``docs`` that do not
+    come straight from files are written to the shared folder first, so that a task that runs again cuts the same pieces.
+
+    1. The k-mers of each piece of text meet by ranges of their hashes; those of two documents go into a filter.
+    2. A piece's strands that pass it, each distinct one once, are dealt into buckets by k-mer, and the piece's task builds
+       the transform of each bucket's strings. Transforms travel, not texts; where the strings stand in the piece
+       travels apart, by piece, so copies make a bucket no larger than one string a piece.
+    3. A bucket's transforms are merged; the blocks at ``length`` give each window's least document.
+    4. Answers return by piece, where they meet the places and become spans.
+    """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark) * RANGES
     sieve = KeyFilter(parts)
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("string").alias("text")).where("id is not null and octet_length(text) >= " + str(length))
+    docs = stable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "texts")
+    rows = small_batches(docs).select("id", F.xxhash64("text").alias("mark"), "text").where(f"id is not null and octet_length(text) >= {length}")
 
     def key_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,7 +390,7 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 found = Strands(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, k)
                 order = np.argsort(found.key, kind="stable")
                 keys, owner = found.key[order], found.owner[order]
-                head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+                head = np.flatnonzero(_heads(keys)) if len(keys) else np.empty(0, np.int64)
                 tail = np.append(head[1:], len(keys)) - 1
                 several = owner[head] != owner[tail]
                 keys = keys[head]
@@ -389,17 +407,25 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def shared_keys(group: pd.DataFrame) -> pd.DataFrame:
         keys = np.sort(sieve.long(b"".join(group["keys"])))
-        twice = keys[1:][keys[1:] == keys[:-1]]
-        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [sieve.fill(np.concatenate([twice, sieve.long(b"".join(group["several"]))]))]})
+        again = keys[1:] == keys[:-1]
+        several = sieve.long(b"".join(group["several"]))
+        entries = len(several) + int((np.append(again, False) | np.concatenate(([False], again))).sum())
+        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [sieve.fill(np.concatenate([keys[1:][again], several]))], "shared": [entries], "all": [len(keys)]})
 
     lists = rows.mapInArrow(key_lists, "bucket int, keys binary, several binary")
     width = sieve.segment // 8
-    segments = np.zeros(parts * width, dtype=np.uint8)
-    for row in lists.groupBy("bucket").applyInPandas(shared_keys, "bucket int, bits binary").toLocalIterator():
+    segments, shared, every = np.zeros(parts * width, dtype=np.uint8), 0, 0
+    for row in lists.groupBy("bucket").applyInPandas(shared_keys, "bucket int, bits binary, shared long, all long").toLocalIterator():
         segments[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
+        shared, every = shared + row["shared"], every + row["all"]
     known = spark.sparkContext.broadcast(segments)
+    filled = float(np.bitwise_count(segments).sum()) / (8 * len(segments))
+    strings = min(shared, every) + (every - min(shared, every)) * filled**2
+    buckets = max(1, min(shuffle_partitions(spark), int(strings) // 64), int(strings * 1.3 * (length + 15)) // BUCKET)
 
-    def strands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in DEALT_SCHEMA.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
         number = (TaskContext.get().partitionId() << 32) - 1  # the same piece has the same number when a task runs again
         cuts = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
         for batch in batches:
@@ -409,95 +435,104 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 number += 1
                 flat, offsets = all_flat[all_offsets[a] : all_offsets[b]], all_offsets[a : b + 1] - all_offsets[a]
                 found = Strands(flat, offsets, length, k)
-                part = np.searchsorted(cuts, found.key, side="right")
-                kept = sieve.holds(known.value, part, found.key)
-                key, part, start, owner, lead = found.key[kept], part[kept], found.start[kept], found.owner[kept], found.lead[kept]
-                size = found.windows[kept] + (length - 1)
+                kept = sieve.holds(known.value, np.searchsorted(cuts, found.key, side="right"), found.key)
+                key, start, owner, size = found.key[kept], found.start[kept], found.owner[kept], found.windows[kept] + (length - 1)
+                del found, kept
+                if not len(key):
+                    continue
                 sums = strand_hashes(flat, start, size)
-                order = np.lexsort((sums, key))
-                key, part, start, owner, lead, size, sums = (x[order] for x in (key, part, start, owner, lead, size, sums))
-                fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sums[1:] != sums[:-1]))) if len(key) else np.empty(0, bool)
-                heads = np.flatnonzero(fresh)
-                times = np.diff(np.append(heads, len(key)))
-                bounds = np.searchsorted(part, np.arange(parts + 1))
-                out: list[list] = [[] for _ in range(12)]
-                for p in np.flatnonzero(np.diff(bounds)).tolist():
-                    lo, hi = bounds[p], bounds[p + 1]
-                    span = slice(*np.searchsorted(heads, (lo, hi)))
-                    own = heads[span]
-                    here, doc = np.unique(owner[lo:hi], return_inverse=True)
-                    values = (
-                        p,
-                        number,
-                        key[own].tobytes(),
-                        sums[own].tobytes(),
-                        _squeeze(size[own].astype(np.uint16)),
-                        _squeeze(lead[own].astype(np.uint16)),
-                        _squeeze(flat[_ragged(start[own], size[own])]),
-                        _squeeze(times[span].astype(np.int32)),
-                        _squeeze(doc.astype(np.int32)),
-                        _squeeze(start[lo:hi] - offsets[owner[lo:hi]]),
-                        _squeeze(here.astype(np.int32)),
-                        _squeeze(ids[a + here].astype(np.int64)),
-                    )
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-                # the piece's own list of documents, which its answers come back to
-                for column, value in zip(out, (-1, number, ids[a:b].astype(np.int64).tobytes(), marks[a:b].astype(np.int64).tobytes(), *[b""] * 8), strict=True):
-                    column.append(value)
-                yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *[pa.array(c, pa.binary()) for c in out[2:]]], names=[f.split()[0] for f in STRAND_SCHEMA.split(", ")])
-
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        if group["bucket"].iloc[0] < 0:  # lists of documents pass through
-            return pd.DataFrame({"piece": group["piece"], "owner": group["keys"], "start": group["sums"], "end": [b""] * len(group)})
-        keys, sums = (np.frombuffer(b"".join(group[c]), dtype=np.uint64) for c in ("keys", "sums"))
-        sizes, leads = (np.concatenate([_spread(r, np.uint16) for r in group[c]]).astype(np.int64) for c in ("sizes", "leads"))
-        text = np.concatenate([_spread(r, np.uint8) for r in group["text"]])
-        times = np.concatenate([_spread(r, np.int32) for r in group["times"]])
-        start = [_spread(r, np.int64) for r in group["start"]]
-        owner, ids = [], []
-        for doc, here, known_ids in zip(group["doc"], group["owner"], group["ids"], strict=True):
-            local = _spread(doc, np.int32)
-            owner.append(_spread(here, np.int32)[local])
-            ids.append(_spread(known_ids, np.int64)[local])
-        cut = np.cumsum([0, *(len(x) for x in start)])
-        occurrence, low, high = _resolve(keys, sums, sizes, leads, text, np.repeat(np.arange(len(keys)), times), np.concatenate(ids), length, k)
-        starts, owners = np.concatenate(start), np.concatenate(owner)
-        row = np.searchsorted(cut, occurrence, side="right") - 1
-        order = np.argsort(row, kind="stable")
-        occurrence, low, high = occurrence[order], low[order], high[order]
-        bounds = np.searchsorted(row[order], np.arange(len(group) + 1))
+                order = np.lexsort((sums, key))  # strands are in order of their places, and stay so within a string
+                fresh = _heads(key[order], sums[order])
+                string = np.empty(len(order), dtype=np.int64)
+                string[order] = np.cumsum(fresh) - 1
+                head = order[fresh]
+                least = np.minimum.reduceat(ids[a + owner[order]], np.flatnonzero(fresh))
+                begin, size, bucket = start[head], size[head], ((key[head] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                del order, fresh, key, sums, head
+                here, at = np.unique(owner, return_index=True)
+                out: list[list] = [
+                    [-1], [number], [0], [b""], [_squeeze(size.astype(np.uint8))], [_squeeze(ids[a + here].astype(np.int64))],
+                    [_squeeze(string.astype(np.int32))], [_squeeze(np.diff(np.append(at, len(owner))).astype(np.int32))],
+                    [_squeeze(np.diff(start, prepend=0).astype(np.int32))], [_squeeze(np.stack([marks[a + here].astype(np.int64), offsets[here]]))],
+                ]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+                for x, y in _groups(bucket, size):
+                    edge = np.append(x + np.flatnonzero(_heads(bucket[x:y])), y)
+                    bwt = transforms(flat, begin[x:y], size[x:y], np.repeat(np.arange(len(edge) - 1), np.diff(edge)))
+                    row = np.concatenate(([0], np.cumsum(size[x:y] + 1)))[edge - x]
+                    spans = [(slice(p, q), bwt[r:s]) for p, q, r, s in zip(edge[:-1].tolist(), edge[1:].tolist(), row[:-1].tolist(), row[1:].tolist(), strict=True)]
+                    n = len(spans)
+                    columns = [
+                        bucket[edge[:-1]].tolist(), [number] * n, edge[:-1].tolist(), [_squeeze(t) for _, t in spans],
+                        [_squeeze(size[s].astype(np.uint8)) for s, _ in spans], [_squeeze(least[s].astype(np.int64)) for s, _ in spans], *[[b""] * n] * 4,
+                    ]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        names = [f.split()[0] for f in ANSWER_SCHEMA.split(", ")]
+        if group["bucket"].iloc[0] < 0:  # places pass through
+            kept = (group["piece"], [True] * len(group), group["string"], group["least"], group["sizes"], [b""] * len(group), group["docs"], group["starts"], group["marks"])
+            return pd.DataFrame(dict(zip(names, kept, strict=True)))
+        group = group.sort_values("piece", kind="stable")
+        sizes = [_spread(r, np.uint8) for r in group["sizes"]]
+        count, size = np.array([len(s) for s in sizes]), np.concatenate(sizes).astype(np.int64)
+        least = np.concatenate([_spread(r, np.int64) for r in group["least"]])
+        merged = Merged.of_transforms(np.concatenate([_spread(r, np.uint8) for r in group["transform"]]), size, count, length)
+        windows = size - (length - 1)
+        string, low, first, last = _runs_below(merged.least(least, windows), least, windows)
+        before = np.cumsum(count) - count
+        bounds = np.searchsorted(string, np.append(before, len(size)))
         answers = []
-        for j, piece in enumerate(group["piece"]):
+        for j, (piece, number) in enumerate(zip(group["piece"], group["first"], strict=True)):
             at = slice(bounds[j], bounds[j + 1])
             if bounds[j + 1] > bounds[j]:
-                begin = starts[occurrence[at]]
-                answers.append((piece, _squeeze(owners[occurrence[at]]), _squeeze(begin + low[at]), _squeeze((high[at] - low[at] + length).astype(np.uint16))))
-        return pd.DataFrame(answers, columns=["piece", "owner", "start", "end"])
+                own = (string[at] - before[j] + number).astype(np.int32)
+                answers.append((piece, False, _squeeze(own), _squeeze(low[at]), _squeeze(first[at].astype(np.uint8)), _squeeze(last[at].astype(np.uint8)), b"", b"", b""))
+        return pd.DataFrame(answers, columns=names)
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
         """Of one piece: each document's spans, joined where they touch."""
-        lists = group["end"].str.len() == 0
-        ids, marks = (np.frombuffer(group.loc[lists, c].iloc[0], dtype=np.int64) for c in ("owner", "start"))
-        spans = group[~lists]
-        if not len(spans):
+        places, answers = group[group["listed"]].iloc[0], group[~group["listed"]]
+        string, docs_of, start = _spread(places["string"], np.int32), _spread(places["docs"], np.int32), np.cumsum(_spread(places["starts"], np.int32), dtype=np.int64)
+        windows, ids = _spread(places["first"], np.uint8).astype(np.int64) - (length - 1), _spread(places["low"], np.int64)
+        marks, offsets = _spread(places["marks"], np.int64).reshape(2, -1)
+        doc = np.repeat(np.arange(len(ids)), docs_of)
+        least = np.full(len(windows), np.iinfo(np.int64).max)
+        np.minimum.at(least, string, ids[doc])
+        # of every string: the runs that other pieces answered, and all of it against its own least document
+        parts_of = [(np.arange(len(windows)), least, np.zeros(len(windows), np.int64), windows - 1)]
+        if len(answers):
+            parts_of.append(tuple(np.concatenate([_spread(r, kind) for r in answers[c]]).astype(np.int64) for c, kind in (("string", np.int32), ("low", np.int64), ("first", np.uint8), ("last", np.uint8))))
+        of, low, first, last = (np.concatenate(x) for x in zip(*parts_of, strict=True))
+        order = np.argsort(of, kind="stable")
+        low, first, last = low[order], first[order], last[order]
+        bounds = np.searchsorted(of[order], np.arange(len(windows) + 1))
+        found = []
+        for x in range(0, len(string), 1 << 18):
+            here = string[x : x + (1 << 18)]
+            many = bounds[here + 1] - bounds[here]
+            run, at = _ragged(bounds[here], many), np.repeat(np.arange(x, x + len(here)), many)
+            gone = low[run] < ids[doc[at]]
+            run, at = run[gone], at[gone]
+            found.append((doc[at], start[at] + first[run], start[at] + last[run] + length))
+        owner, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(owner):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "mark": pd.Series(dtype="int64"), "starts": [], "ends": []})
-        owner, start, size = (np.concatenate([_spread(r, kind) for r in spans[c]]) for c, kind in (("owner", np.int32), ("start", np.int64), ("end", np.uint16)))
-        order = np.lexsort((start, owner))
-        owner, start, end = owner[order].astype(np.int64), start[order], (start + size)[order]
+        # offsets in the piece: the documents' spans do not touch, as a document is longer than its spans' overlap
+        order = np.lexsort((begin, owner))
+        owner, begin, end = owner[order], begin[order], end[order]
         far = int(end.max()) + 2
         reach = np.maximum.accumulate(owner * far + end)  # the furthest end so far of the same document
-        fresh = np.concatenate(([True], owner[1:] * far + start[1:] > reach[:-1]))
-        head = np.flatnonzero(fresh)
-        ends = reach[np.append(head[1:], len(owner)) - 1] - owner[head] * far
-        starts, owner = start[head], owner[head]
+        head = np.flatnonzero(np.concatenate(([True], owner[1:] * far + begin[1:] > reach[:-1])))
+        end = reach[np.append(head[1:], len(owner)) - 1] - owner[head] * far - offsets[owner[head]]
+        begin, owner = begin[head] - offsets[owner[head]], owner[head]
         here = np.unique(owner)
         a, b = np.searchsorted(owner, here), np.searchsorted(owner, here, side="right")
-        return pd.DataFrame({"id": ids[here], "mark": marks[here], "starts": [starts[x:y].tobytes() for x, y in zip(a, b, strict=True)], "ends": [ends[x:y].tobytes() for x, y in zip(a, b, strict=True)]})
+        return pd.DataFrame({"id": ids[here], "mark": marks[here], "starts": [begin[x:y].tobytes() for x, y in zip(a, b, strict=True)], "ends": [end[x:y].tobytes() for x, y in zip(a, b, strict=True)]})
 
-    # lists of documents need no company: spread them over groups of their own
-    dealt = rows.mapInArrow(strands, STRAND_SCHEMA).withColumn("apart", F.when(F.col("bucket") < 0, F.col("piece")).otherwise(0))
-    answers = dealt.groupBy("bucket", "apart").applyInPandas(resolve, "piece long, owner binary, start binary, end binary")
+    # places need no company: spread them over groups of their own
+    dealt = rows.mapInArrow(deal, DEALT_SCHEMA).withColumn("apart", F.when(F.col("bucket") < 0, F.col("piece")).otherwise(0))
+    answers = dealt.groupBy("bucket", "apart").applyInPandas(merge, ANSWER_SCHEMA)
     return answers.groupBy("piece").applyInPandas(gather, "id long, mark long, starts binary, ends binary")
 
 
