@@ -81,7 +81,8 @@ class Strands:
         last = offsets[owner + 1] - length
         windows = np.minimum(ends, last + 1) - starts
         kept = windows > 0
-        self.start, self.windows, self.key, self.owner = starts[kept], windows[kept], self.key[kept], owner[kept]
+        # least hashes are small ones: mixed again, they fill all ranges alike
+        self.start, self.windows, self.key, self.owner = starts[kept], windows[kept], mix(self.key[kept] * ODD), owner[kept]
         self.lead = (place - starts)[kept]  # bytes before the k-mer
 
     @staticmethod
@@ -141,12 +142,15 @@ def transforms(flat: np.ndarray, start: np.ndarray, size: np.ndarray, shard: np.
     order of the suffixes. A symbol is a byte and one more; 0 ends a string, and ends sort as their strings do.
 
     ``shard`` numbers the shard of each string, in order, below 256. Suffixes are sorted by seven symbols, then by prefix
-    doubling among those still alike. UTF-8 has neither 0xFE nor 0xFF; they count as one symbol.
+    doubling among those still alike. UTF-8 has neither 0xFE nor 0xFF; they count as one symbol. At most 2**21 symbols.
     """
     total = size + 1
     begin = np.cumsum(total) - total
     text = np.zeros(int(total.sum()), dtype=np.uint8)
     text[_ragged(begin, size)] = np.minimum(flat[_ragged(start, size)], 254) + np.uint8(1)
+    bits = len(text).bit_length()
+    if 3 * bits > 64:
+        raise ValueError("too many symbols in one shard")
     key = text.astype(np.uint64)
     for width in (1, 2, 4):
         beyond = np.zeros_like(key)
@@ -161,20 +165,23 @@ def transforms(flat: np.ndarray, start: np.ndarray, size: np.ndarray, shard: np.
     rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(len(text)), 0))
     alike = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
     string, last = np.repeat(np.arange(len(size)), total), np.repeat(begin + size, total)
-    width = 7
+    seen, here = 7, np.uint64((1 << bits) - 1)
     while len(alike):
-        here = order[alike]
-        further = here + width
-        inside = further <= last[here]
-        further[~inside] = 0
-        pair = (rank[here] << 32) | np.where(inside, rank[further] + len(size), string[here])
-        by = np.argsort(pair)
-        here, pair = here[by], pair[by]
-        fresh = np.concatenate(([True], pair[1:] != pair[:-1], [True]))
-        order[alike] = here
-        rank[here] = np.maximum.accumulate(np.where(fresh[:-1], alike, 0))
+        at = order[alike]
+        further = at + seen
+        ended = further > last[at]
+        further[ended] = 0
+        second = np.where(ended, string[at], rank[further])  # where a string has ended, all that are alike have
+        # a rank, what follows and the place itself in one key: sorting needs no second array
+        key = ((rank[at] << (2 * bits)) | (second << bits) | at).view(np.uint64)
+        key.sort()
+        at = (key & here).astype(np.int64)
+        key >>= np.uint64(bits)
+        fresh = np.concatenate(([True], key[1:] != key[:-1], [True]))
+        order[alike] = at
+        rank[at] = np.maximum.accumulate(np.where(fresh[:-1], alike, 0))
         alike = alike[~(fresh[:-1] & fresh[1:])]
-        width *= 2
+        seen *= 2
     return text[order - 1]
 
 
@@ -182,10 +189,9 @@ class Merged:
     """Burrows-Wheeler transforms of shards of strings, merged.
 
     The merge starts with the shards' rows one shard after the other; a refinement deals the rows out by the symbols before
-    them, in order, which sorts them by so many more symbols. No suffix is sorted or compared again. Rows that stay in one
-    block share a prefix as long as the refinements done: ``common`` holds, for each row, how many symbols it shares with the
-    row above, to the last refinement that kept them together and ``depth`` at most. The blocks after ``depth`` symbols
-    are the intervals of repeated strings of that length. Every string takes part, with the value that stands for its copies;
+    them, in order, which sorts them by so many more symbols. No suffix is sorted or compared again. Only rows from which
+    ``depth`` steps lead to the start of a window are dealt. Rows that stay in one block share a prefix as long as the
+    refinements done, so the blocks after ``depth`` symbols are the intervals of strings with a common prefix of that length. Every string takes part, with the value that stands for its copies;
     nothing is decided but by the merged transform.
     """
 
@@ -207,11 +213,11 @@ class Merged:
         shard_of = np.repeat(np.arange(len(strings), dtype=np.uint16 if len(strings) <= 1 << 16 else np.int64), strings)
         rows_of = np.bincount(shard_of, weights=size + 1, minlength=len(strings)).astype(np.int64)
         first_row = np.cumsum(rows_of) - rows_of
-        by = np.argsort(bwt, kind="stable")
-        if len(strings) > 1:
-            by = by[np.argsort(np.repeat(np.arange(len(strings), dtype=shard_of.dtype), rows_of)[by], kind="stable")]
+        bits = len(bwt).bit_length()
+        key = (np.repeat(np.arange(len(strings), dtype=np.uint64), rows_of) << np.uint64(8 + bits)) | (bwt.astype(np.uint64) << np.uint64(bits)) | np.arange(len(bwt), dtype=np.uint64)
+        key.sort()
         back = np.empty(len(bwt), dtype=np.int64)  # the row of the suffix that is one symbol longer
-        back[by] = np.arange(len(bwt))
+        back[(key & np.uint64((1 << bits) - 1)).astype(np.int64)] = np.arange(len(bwt))
         # walk from the ends: which string and place each row stands for
         self.owner, self.place = np.empty(len(bwt), dtype=np.int32), np.empty(len(bwt), dtype=np.int32)
         alive, left = np.arange(len(size)), size.astype(np.int32)
@@ -225,18 +231,17 @@ class Merged:
                 break
             at, left = back[at], left - 1
         # a key holds the symbols before a row, the last read one first, and the row's present position
-        bits = len(bwt).bit_length()
         together = max(1, min(depth, (64 - bits) // 8))
-        symbols, step, steps = np.zeros(len(bwt), dtype=np.uint64), np.arange(len(bwt)), [np.arange(len(bwt))]
-        for j in range(together):
+        symbols, step, steps = bwt.astype(np.uint64), back, [back] if depth % together == 1 else []
+        for j in range(1, together):
             symbols |= bwt[step].astype(np.uint64) << np.uint64(8 * j)
             step = back[step]
-            if j + 1 in (together, depth % together):
+            if j + 1 == depth % together:
                 steps.append(step)
-        rows, block, place = np.arange(len(bwt)), np.zeros(len(bwt), dtype=np.int32), np.arange(len(bwt), dtype=np.uint64)
-        self.common = np.zeros(len(bwt), dtype=np.int32)
-        change = np.ones(len(bwt), dtype=bool)
-        ones = np.uint64(int("01" * together, 16))
+        steps.append(step)
+        rows = np.flatnonzero(self.place >= depth)  # from here the refinements lead to the starts of windows
+        block, place = np.zeros(len(rows), dtype=np.int32), np.arange(len(rows), dtype=np.uint64)
+        change = np.ones(len(rows), dtype=bool)
         done = 0
         while done < depth:
             taken = depth % together if not done and depth % together else together
@@ -247,24 +252,19 @@ class Merged:
             key.sort()
             order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
             key >>= np.uint64(bits)
-            block, rows = block[order], steps[1 if taken < together else -1][rows[order]]
+            block, rows = block[order], steps[0 if taken < together else -1][rows[order]]
             change[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-            low = ones if taken == together else np.uint64(int("01" * taken, 16))
-            change |= (key - low) & ~key & (low << np.uint64(7)) != 0  # a symbol is an end, and ends are all different
             block = np.cumsum(change, dtype=np.int32)
-            self.common += ~change * np.int32(taken)
             done += taken
-        self.rows, self.starts, self.size = rows, np.flatnonzero(change), size
+        self.rows, self.starts = rows, np.flatnonzero(change)
 
     def least(self, value: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """For the first ``windows`` places of each string, one after the other, the least ``value`` of a string that
-        holds the same symbols there."""
-        inside = self.place < windows[self.owner]
-        low = np.minimum.reduceat(np.where(inside, value[self.owner], np.iinfo(value.dtype).max)[self.rows], self.starts)
-        by_row = np.empty(len(self.rows), dtype=value.dtype)
-        by_row[self.rows] = np.repeat(low, np.diff(np.append(self.starts, len(self.rows))))
+        """For the ``windows`` places of each string where ``depth`` symbols begin, one after the other, the least ``value`` of
+        a string that holds the same symbols there."""
+        owner, place = self.owner[self.rows], self.place[self.rows]
+        low = np.minimum.reduceat(value[owner], self.starts)
         out = np.empty(int(windows.sum()), dtype=value.dtype)
-        out[(np.cumsum(windows) - windows)[self.owner[inside]] + self.place[inside]] = by_row[inside]
+        out[(np.cumsum(windows) - windows)[owner] + place] = np.repeat(low, np.diff(np.append(self.starts, len(self.rows))))
         return out
 
 
@@ -316,7 +316,7 @@ class KeyFilter:
 #: Bytes of text whose strands are dealt out together: a shard of the corpus, whose transforms its task builds.
 PIECE = 16 << 20
 #: Bytes of strands of all shards that are merged at a time; it bounds a worker's memory.
-BUCKET = 1 << 19
+BUCKET = 1 << 18
 #: Ranges of k-mers for each shuffle partition in the search for shared ones.
 RANGES = 4
 DEALT_SCHEMA = "bucket int, piece long, first long, transform binary, sizes binary, least binary, string binary, docs binary, starts binary, marks binary"
@@ -381,7 +381,7 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     parts = shuffle_partitions(spark) * RANGES
     sieve = KeyFilter(parts)
     docs = stable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "texts")
-    rows = small_batches(docs).select("id", F.xxhash64("text").alias("mark"), "text").where(f"id is not null and octet_length(text) >= {length}")
+    rows = small_batches(docs, PIECE >> 20).select("id", F.xxhash64("text").alias("mark"), "text").where(f"id is not null and octet_length(text) >= {length}")
 
     def key_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
