@@ -45,6 +45,12 @@ def materialize(df, label: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stable(df, label: str):
     """``df`` where it only selects and filters rows of files, whose order a task that runs again finds unchanged; else a written copy."""
     node = df._jdf.queryExecution().optimizedPlan()
