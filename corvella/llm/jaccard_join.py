@@ -18,8 +18,8 @@ from .order_minhash import multipliers
 
 #: Hash functions at most, and the share of pairs at the threshold that banding must find.
 HASHES, RECALL = 128, 0.9999
-#: Members of a candidate group that meet in one task: a block against itself or another.
-BLOCK = 192
+#: Members of a candidate group that meet in one task, a block against itself or another, and their n-grams: 8 bytes each.
+BLOCK, BLOCK_GRAMS = 192, 1 << 20
 
 
 def banding(threshold: float, hashes: int = HASHES, recall: float = RECALL) -> tuple[int, int]:
@@ -147,14 +147,15 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, id_col:
        least id, with a weight.
     2. Representatives are shuffled on their band hashes; each hangs on the least of its bucket. The components of
        these candidate links are candidate groups.
-    3. A group's members fall into blocks of about ``BLOCK``; every pair of blocks is verified in a task of its own,
-       on full sets, for the pairs that share a band. A task sends a row a member, not its pairs, so a group of m
+    3. A group's members fall into blocks of about ``BLOCK`` members and ``BLOCK_GRAMS`` n-grams; every pair of blocks is
+       verified in a task of its own, on full sets, for the pairs that share a band. A task sends a row a member, not its pairs, so a group of m
        costs m rows for each of its m / BLOCK blocks.
     4. The components of the verified links are the classes.
 
     Null and empty texts, and texts of white space, are copies of each other. A text of fewer than n words is one
-    n-gram. Rows of one id are one document, the first by set key; rows with a null id take no part. Pairs at the
-    threshold are found with chance ``recall`` or more. An empty table gives no rows.
+    n-gram. Rows of one id are one document, the text of the first set key; its other texts take no part, and neither do
+    rows with a null id. Pairs at the threshold are found with chance ``recall`` or more. Very long texts make blocks of
+    their own. Other columns, clashing names among them, are not read. An empty table gives no rows.
     """
     bands, rows = banding(threshold, hashes, recall)
 
@@ -166,25 +167,27 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, id_col:
                 h1, h2 = _set_key(grams, counts)
                 signed = band_hashes(grams, counts, bands, rows).view(np.int64) if len(grams) else np.empty((0, bands), np.int64)
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(h1), pa.array(h2), pa.array(counts.astype(np.int32)), list_array(signed.ravel(), np.where(counts > 0, bands, 0), pa.int64())],
-                    names=["id", "h1", "h2", "n_grams", "bands"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(h1), pa.array(h2), pa.array(counts.astype(np.int32)), list_array(signed.ravel(), np.where(counts > 0, bands, 0), pa.int64())],
+                    names=["id", "mark", "h1", "h2", "n_grams", "bands"],
                 )
 
-    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    drawn = materialize(source.mapInArrow(sketch, "id long, h1 long, h2 long, n_grams int, bands array<long>"), "sketches")
-    member = drawn.groupBy("id").agg(F.min_by(F.struct("h1", "h2", "n_grams"), F.struct("h1", "h2")).alias("s")).select("id", "s.*")
-    of_set = member.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = drawn.join(of_set, (drawn["id"] == of_set["rep"]) & (drawn["h1"] == of_set["h1"]) & (drawn["h2"] == of_set["h2"])).select("rep", "copies", "bands").dropDuplicates(["rep"])
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("mark")).where("id is not null")
+    drawn = materialize(source.mapInArrow(sketch, "id long, mark long, h1 long, h2 long, n_grams int, bands array<long>"), "sketches")
+    # of the rows of one id, the text of the least set key (of equal sets, of the least mark) is the document
+    member = drawn.groupBy("id").agg(F.min(F.struct("h1", "h2", "mark", "n_grams")).alias("s")).select("id", "s.*")
+    of_set = member.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark")).alias("s"), F.count("*").alias("copies")).select("h1", "h2", F.col("s.id").alias("rep"), F.col("s.mark").alias("rep_mark"), "copies")
+    chosen = (drawn["id"] == of_set["rep"]) & (drawn["mark"] == of_set["rep_mark"])
+    reps = drawn.drop("h1", "h2").join(of_set, chosen).select("rep", "rep_mark", "copies", "n_grams", "bands").dropDuplicates(["rep"])
     reps = materialize(reps, "representatives")
 
     hung = reps.select("rep", F.posexplode("bands").alias("band", "h"))
     least = hung.groupBy("band", "h").agg(F.min("rep").alias("b"), F.count("*").alias("m")).where("m > 1")
     candidates = hung.join(least, ["band", "h"]).select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
     groups = connected_components(candidates)
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "root").select(F.col("node").alias("rep"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    placed = placed.join(reps, "rep")
-    text_of = source.join(placed, source["id"] == placed["rep"]).select("rep", "root", "blocks", "block", "copies", "bands", "text")
+    grouped = groups.join(reps, groups["node"] == reps["rep"]).drop("node")
+    sizes = grouped.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    placed = grouped.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    text_of = source.join(placed, (source["id"] == placed["rep"]) & (source["mark"] == placed["rep_mark"])).select("rep", "root", "blocks", "block", "copies", "bands", "text")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
