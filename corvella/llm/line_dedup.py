@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvella.session import scratch_path, shuffle_partitions
+from corvella.session import remove, scratch_path, shuffle_partitions
 
 #: What a key loses at both ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -68,8 +68,17 @@ class RunStore:
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._push(level + 1, self._write(self.merged(full)))
-            for old in full:
-                self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+            self._drop(full)
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        """Drop all runs, files included."""
+        self._drop(self.names())
+        self.levels = []
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 3, fanout: int = 3) -> DataFrame:
@@ -82,9 +91,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keeper; the batch then becomes a run of its own. The compacted runs say which keys reach ``min_docs``. At most
     ``HOT_KEYS`` of the most frequent keys meet their lines by broadcast, all others by a shuffle that carries hashes.
 
+    A line travels as its place and its hash; the places that a row loses come back to it as one list, and the time to
+    take them out grows with the row's lines alone, however many it loses.
+
     A null or empty text is one empty line. Rows with one id are one document when documents are counted; each row
-    loses its own lines. Rows with a null id lose nothing and count for nothing. Columns named like the added ones are
-    replaced. An empty table gives no rows.
+    loses its own lines, repeated rows alike. Rows with a null id lose nothing and count for nothing. Columns named like the
+    added ones are replaced. An empty table gives no rows. The runs are deleted at the end; the hashes stay in the shared
+    folder for as long as the result may be read.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
@@ -92,10 +105,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
     batch = sum((F.when(F.col("id") <= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    hashes = F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n"), line_key), lambda k: F.length(k) >= min_chars), key_hash))
+    hashes = F.transform(F.transform(F.split(text, "\n"), line_key), lambda k: F.when(F.length(k) >= min_chars, key_hash(k)))
     at = scratch_path(spark, "lines")
-    docs.select(F.col(id_col).cast("long").alias("id"), F.explode(hashes).alias("h")).where("id is not null").select("id", "h.h1", "h.h2", batch.alias("batch")).write.partitionBy("batch").parquet(at)
-    lines = spark.read.schema("id long, h1 long, h2 long, batch int").parquet(at)
+    mark = F.xxhash64(text)
+    # hashed before they are exploded: an expression beside a generator is worked out for each of its rows
+    hashed = docs.select(F.col(id_col).cast("long").alias("id"), mark.alias("mark"), hashes.alias("hs"))
+    placed = hashed.select("id", "mark", F.posexplode("hs").alias("pos", "h")).where("id is not null and h is not null")
+    placed.select("id", "mark", "pos", "h.h1", "h.h2", batch.alias("batch")).write.partitionBy("batch").parquet(at)
+    lines = spark.read.schema("id long, mark long, pos int, h1 long, h2 long, batch int").parquet(at)
     store = RunStore(spark, fanout)
     for k in range(len(cuts) + 1):
         own = lines.where(F.col("batch") == k).groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
@@ -104,16 +121,20 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     common = scratch_path(spark, "common-lines")
     known.write.parquet(common)
     known = spark.read.schema(known.schema).parquet(common)
+    store.close()
     hot = known.orderBy(F.desc("n"), "h1", "h2").limit(HOT_KEYS)
     cold = known.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
     lines = lines.drop("batch")
     of_hot = lines.join(F.broadcast(hot), ["h1", "h2"]).where("id < keeper")
     rest = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
     of_cold = rest.join(cold, ["h1", "h2"]).where("id < keeper")
-    drops = of_hot.unionByName(of_cold).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drops")).withColumnRenamed("id", "__id")
-    joined = docs.join(drops, F.col(id_col).cast("long") == F.col("__id"), "left")
-    split = F.split(text, "\n")
-    stays = F.filter(split, lambda line: ~((F.length(line_key(line)) >= min_chars) & F.array_contains(F.col("__drops"), key_hash(line_key(line)))))
-    kept = F.when(F.col("__drops").isNull(), split).otherwise(stays)
-    shaped = joined.withColumn("__kept", kept).withColumn("n_lines", F.size(split).cast("long")).withColumn("n_dropped", (F.size(split) - F.size("__kept")).cast("long"))
-    return shaped.withColumn(text_col, F.array_join("__kept", "\n")).drop("__id", "__drops", "__kept")
+    drops = of_hot.unionByName(of_cold).groupBy("id", "mark").agg(F.collect_set("pos").alias("__drops")).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__drops")
+    rest = [c for c in docs.columns if c != text_col]
+    # split before the join: what a lambda reads must be a column, or it is split again for each line
+    split = docs.select(*rest, F.split(text, "\n").alias("__lines"), mark.alias("__own_mark"))
+    joined = split.join(drops, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__own_mark") == F.col("__mark")), "left")
+    stays = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drops"))
+    kept = F.when(F.col("__drops").isNull(), F.col("__lines")).otherwise(F.transform(stays, lambda place: F.col("__lines")[place]))
+    shaped = {text_col: F.array_join(kept, "\n")}
+    dropped = F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops"))
+    return joined.select(*[shaped.get(c, F.col(c)).alias(c) for c in docs.columns], F.size("__lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
