@@ -24,11 +24,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("ul ol menu dl table tbody thead tfoot select div section article".split())
 
-#: The name of a raw element ends at a blank, a slash or the bracket: <svg-icon> is none. A self-closed <svg/> is empty.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg(?:(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>|<(script|style|noscript|template|svg|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>|([^<]+)|<",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Elements whose content is no text. Their names end at a blank, a slash or the bracket: <svg-icon> is none of them.
+RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "noscript", "template", "svg", "iframe")}
+NAME = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+#: The rest of a tag, to the first bracket outside quotes; it gives nothing back, so one attempt reads a character once.
+REST = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 PARTS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -42,6 +43,12 @@ PAGES, EPOCHS = 1000, 9
 MARK = "\ue000"
 
 
+#: Labels of a path that the model sees at most; text and structure are read at any depth.
+DEEP = 256
+#: Blocks times pages that the network reads at a time; a longer page is read in stretches that hand their state on.
+STRETCH = 8192
+
+
 #: What a worker remembers of words and paths before it starts anew.
 REMEMBERED = 200_000
 
@@ -69,10 +76,89 @@ def _label(name: str, attributes: str) -> str:
     return " ".join(words)
 
 
+def _cut(stack: list[tuple[str, str]]) -> tuple[str, ...]:
+    """The labels of a path. Beyond ``DEEP`` open elements those in the middle are left out: they would make a path of
+    n open elements cost n for every block, and pages nest some tens deep."""
+    if len(stack) > DEEP:
+        stack = stack[: DEEP // 2] + stack[-DEEP // 2 :]
+    return tuple(label for _, label in stack)
+
+
+class _Tags:
+    """Where the tags of one page end. A tag that never ends is found once: what its search has passed is remembered, so a
+    page of broken quotes is read in linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.dead, self.broken = page, page.rfind(">"), set(), False
+
+    def end(self, at: int) -> int:
+        """The place of the bracket that ends the tag whose name ends at ``at``, or -1."""
+        if at > self.last:
+            return -1
+        if not self.broken:
+            if found := REST.match(self.page, at):
+                return found.end() - 1
+            self.broken = True
+        passed = []
+        while (found := SPECIAL.search(self.page, at)) and (here := found.start()) not in self.dead:
+            mark = found.group()
+            if mark == ">":
+                return here
+            passed.append(here)
+            if (at := self.page.find(mark, here + 1) + 1) == 0:
+                break
+        self.dead.update(passed)
+        return -1
+
+
+def _tokens(page: str) -> Iterator[tuple[str | None, str | bool, str]]:
+    """(None, text, "") for runs of text, (name, closes, attributes) for tags."""
+    tags, at, size = _Tags(page), 0, len(page)
+    while at < size:
+        here = page.find("<", at)
+        if here != at:
+            yield None, page[at : here if here >= 0 else size], ""
+            if here < 0:
+                return
+        if page.startswith("<!--", here):
+            at = page.find("-->", here + 4) + 3
+            if at == 2:
+                return
+            continue
+        found = NAME.match(page, here)
+        if found is None:
+            if page[here + 1 : here + 2] in ("!", "?") and here < tags.last:
+                at = page.find(">", here) + 1
+            else:
+                yield None, "<", ""
+                at = here + 1
+            continue
+        slash, name = found.groups()
+        name, stop = name.lower(), found.end()
+        if not slash and name in RAW and page[stop : stop + 1] in (" ", "\t", "\n", "\r", "\f", "\v", "/", ">"):
+            if name == "svg" and (end := tags.end(stop)) >= 0 and page[end - 1] == "/":
+                at = end + 1
+                continue
+            if stop <= tags.last:
+                close = RAW[name].search(page, page.find(">", stop) + 1)
+                if close is None:
+                    return
+                at = close.end()
+                continue
+        end = tags.end(stop)
+        if end < 0:
+            yield None, "<", ""
+            at = here + 1
+        else:
+            yield name, slash == "/", page[stop:end]
+            at = end + 1
+
+
 def leaves(page: str) -> list[Leaf]:
     """The leaf blocks of a page in page order; scripts, styles and comments are no text."""
     found: list[Leaf] = []
     stack: list[tuple[str, str]] = []
+    opened: dict[str, int] = {}
     path: tuple[str, ...] = ()
     text: list[str] = []
     linked, link = 0, False
@@ -86,45 +172,44 @@ def leaves(page: str) -> list[Leaf]:
             text.clear()
         linked = 0
 
-    for token in TOKEN.finditer(page):
-        raw, slash, name, attributes, run = token.group(1, 2, 3, 4, 5)
-        if run is not None:
-            text.append(run)
-            if link:
-                linked += len(run.strip())
-            continue
-        if raw is not None:
-            continue
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
+    for name, closes, rest in _tokens(page):
         if name is None:
-            if token.group() == "<":
-                text.append("<")
+            text.append(closes)
+            if link:
+                linked += len(closes.strip())
             continue
-        name = name.lower()
         if name not in BLOCKS:
             if name == "a":
-                link = not slash
+                link = not closes
             elif name == "br":
                 text.append(" ")
             continue
         flush()
-        if slash:
-            if any(name == open_name for open_name, _ in stack):
-                while stack.pop()[0] != name:
+        if closes:
+            if opened.get(name):
+                while pop() != name:
                     pass
                 link = False
         else:
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             if name in CLOSES:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] in CLOSES[name]:
-                        del stack[depth:]
+                        while len(stack) > depth:
+                            pop()
                         break
                     if stack[depth][0] in CONTAINERS:
                         break
             if name not in VOID:
-                stack.append((name, _label(name, attributes)))
-        path = tuple(label for _, label in stack)
+                stack.append((name, _label(name, rest)))
+                opened[name] = opened.get(name, 0) + 1
+        path = _cut(stack)
     flush()
     return found
 
@@ -157,8 +242,10 @@ def _word_slots(words: list[str]) -> list[int]:
     return slots
 
 
-def features(blocks: list[Leaf]) -> np.ndarray:
-    """A vector a block: hashed words of its tag path, hashed words of its text, and its shape."""
+def features(blocks: list[Leaf], first: int = 0, whole: int | None = None) -> np.ndarray:
+    """A vector a block: hashed words of its tag path, hashed words of its text, and its shape. ``blocks`` may be a stretch
+    of a page of ``whole`` blocks that begins at ``first``."""
+    whole = whole or len(blocks)
     x = np.empty((len(blocks), WIDTH), dtype=np.float32)
     counts, shape, slots = [], [], []
     for k, leaf in enumerate(blocks):
@@ -168,7 +255,7 @@ def features(blocks: list[Leaf]) -> np.ndarray:
         slots += _word_slots(words)
         n = len(words)
         counts.append(n)
-        shape.append((n, leaf.linked / chars, min(1.0, 8 * text.count(",") / n), min(1.0, 8 * text.count(". ") / n), last in ".!?。", any(map(text.__contains__, DIGITS)), k / len(blocks), 1.0))
+        shape.append((n, leaf.linked / chars, min(1.0, 8 * text.count(",") / n), min(1.0, 8 * text.count(". ") / n), last in ".!?。", any(map(text.__contains__, DIGITS)), (first + k) / whole, 1.0))
     n = np.array(counts)
     owner = np.repeat(np.arange(len(blocks)) * WORD_SLOTS, n)
     grid = np.bincount(owner + np.array(slots), minlength=len(blocks) * WORD_SLOTS).reshape(-1, WORD_SLOTS)
@@ -197,11 +284,14 @@ class BiLstm:
         self.p["o"] = rng.normal(0, 0.2, 2 * HIDDEN).astype(np.float32)
         self.p["ob"] = np.zeros(1, dtype=np.float32)
 
-    def _side(self, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
-        """x (steps, pages, WIDTH) in the order of reading; the state stays as it is where the mask ends."""
+    def _side(self, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None, state: list | None = None) -> np.ndarray:
+        """x (steps, pages, WIDTH) in the order of reading; the state stays as it is where the mask ends. ``state`` is where
+        reading begins, and takes where it ends."""
         steps, pages, _ = x.shape
         drive = (x.reshape(-1, WIDTH) @ self.p[side + "x"] + self.p[side + "b"]).reshape(steps, pages, -1)
         h = c = np.zeros((pages, HIDDEN), dtype=np.float32)
+        if state:
+            h, c = state
         out = np.empty((steps, pages, HIDDEN), dtype=np.float32)
         for t in range(steps):
             z = drive[t] + h @ self.p[side + "h"]
@@ -216,8 +306,22 @@ class BiLstm:
             c = np.where(m, fresh, c)
             h = np.where(m, o * bent, h)
             out[t] = h
+        if state is not None:
+            state[:] = [h, c]
         return out
 
+    def long_page(self, blocks: list[Leaf], stretch: int = STRETCH) -> np.ndarray:
+        """``chances`` of one page, read in stretches: only the states of its blocks are held for the whole page."""
+        both = np.empty((len(blocks), 2 * HIDDEN), dtype=np.float32)
+        edges = [(a, min(a + stretch, len(blocks))) for a in range(0, len(blocks), stretch)]
+        for side, order, way in (("f", edges, 1), ("b", edges[::-1], -1)):
+            state: list = []
+            for a, b in order:
+                x = features(blocks[a:b], a, len(blocks))[::way, None]
+                read = self._side(side, x, np.ones((b - a, 1), dtype=bool), None, state)[::way, 0]
+                both[a:b, slice(HIDDEN) if side == "f" else slice(HIDDEN, None)] = read
+        return _sigmoid(both @ self.p["o"] + self.p["ob"][0])
+
     def chances(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """The chance of every block to be main text; x is (steps, pages, WIDTH)."""
         kf, kb = (None, None) if keep is None else ([], [])
@@ -443,25 +547,36 @@ def train(count: int = PAGES, epochs: int = EPOCHS) -> BiLstm:
     return BiLstm().fit(training_pages(count), epochs)
 
 
-def main_texts(pages: list[str], model: BiLstm, together: int = 64) -> list[str]:
-    """The main text of each page, its blocks joined by line breaks."""
+def main_texts(pages: list[str], model: BiLstm, together: int = 64, stretch: int = STRETCH) -> list[str]:
+    """The main text of each page, its blocks joined by line breaks. Pages of like length are read side by side, as many as
+    make ``stretch`` blocks with the longest's padding; a page of more than that is read alone."""
     parsed = [leaves(p) for p in pages]
     result = [""] * len(pages)
     order = sorted((k for k in range(len(pages)) if parsed[k]), key=lambda k: len(parsed[k]))
-    for first in range(0, len(order), together):
-        group = order[first : first + together]
-        x, mask, _ = padded([(features(parsed[k]), np.zeros(len(parsed[k]), dtype=np.float32)) for k in group])
-        chance = model.chances(x, mask)
-        for j, k in enumerate(group):
-            result[k] = "\n".join(leaf.text for leaf, c in zip(parsed[k], chance[:, j], strict=False) if c >= 0.5)
+    at = 0
+    while at < len(order):
+        group = order[at : at + together]
+        while len(group) > 1 and len(group) * len(parsed[group[-1]]) > stretch:
+            group = group[: max(1, min(len(group) - 1, stretch // len(parsed[group[-1]])))]
+        at += len(group)
+        if len(parsed[group[-1]]) > stretch:
+            columns = [model.long_page(parsed[group[0]], stretch)]
+        else:
+            x, mask, _ = padded([(features(parsed[k]), np.zeros(len(parsed[k]), dtype=np.float32)) for k in group])
+            columns = model.chances(x, mask).T
+        for k, chance in zip(group, columns, strict=True):
+            result[k] = "\n".join(leaf.text for leaf, c in zip(parsed[k], chance, strict=False) if c >= 0.5)
+            parsed[k] = []
     return result
 
 
 def extract(pages: DataFrame, model: BiLstm, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The id, url and main text of every page; ``text`` is empty where no block is main text.
 
-    A null or empty html has empty text. Repeated rows are extracted each; other columns, clashing names among them,
-    are ignored; an empty table gives no rows. Whole pages are read, however long; nothing is shuffled.
+    A null or empty html has empty text. Repeated rows and ids are extracted each, in no order; other columns, clashing
+    names among them, are ignored (the result's own is ``text``, whatever the input has); an empty table gives no rows.
+    Whole pages are read, however long, in time linear in their length (markup that never ends included) and in memory
+    of the page, its blocks and one stretch of vectors; nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
