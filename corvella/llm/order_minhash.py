@@ -106,7 +106,8 @@ def edited(text: str, following: str | None) -> str:
 def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (part, guard, id, text) in ranges of ids: each range is followed by a copy of the next range's first row,
     marked ``guard``; the last range by the table's first row. Only the cuts between ranges reach the driver, one a
-    partition."""
+    partition. Null texts are empty and null ids come first; rows of one id stay in one range, so an id that holds a third of
+    all rows makes a long range, which is read as a stream. An empty table gives no rows; other columns are not read."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = shuffle_partitions(spark)
@@ -116,28 +117,31 @@ def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     starts = rows.select("id", part.alias("part")).groupBy("part").agg(F.min("id").alias("least"), F.max(F.col("id").isNull().cast("int")).alias("nulls")).orderBy("part").collect()
     if not starts:
         return rows.select(F.lit(0).alias("part"), F.lit(False).alias("guard"), "id", "text")
-    goes = {}
+    sends, leasts = [0] * (len(cuts) + 1), [0] * (len(cuts) + 1)
     for k, row in enumerate(starts):
-        goes[row["part"]] = (starts[k - 1]["part"], None if row["nulls"] else row["least"])
+        sends[row["part"]], leasts[row["part"]] = starts[k - 1]["part"], row["least"] or 0
     own = rows.withColumn("part", part)
-    sends = F.create_map(*[F.lit(x) for p, (to, _) in goes.items() for x in (p, to)])
-    leasts = F.create_map(*[x for p, (_, least) in goes.items() for x in (F.lit(p), F.lit(least).cast("long"))])
-    first = F.col("id").eqNullSafe(leasts[F.col("part")])
-    both = own.withColumn("to", F.when(first, F.array(F.struct(F.lit(False).alias("guard"), F.col("part").alias("p")), F.struct(F.lit(True).alias("guard"), sends[F.col("part")].alias("p")))).otherwise(F.array(F.struct(F.lit(False).alias("guard"), F.col("part").alias("p")))))
+    # null ids are all in the first part and lead it
+    first = F.when(F.lit(bool(starts[0]["nulls"])) & (F.col("part") == 0), F.col("id").isNull()).otherwise(F.col("id") == F.lit(leasts)[F.col("part")])
+    stay = F.struct(F.lit(False).alias("guard"), F.col("part").alias("p"))
+    both = own.withColumn("to", F.when(first, F.array(stay, F.struct(F.lit(True).alias("guard"), F.lit(sends)[F.col("part")].alias("p")))).otherwise(F.array(stay)))
     spread = both.select(F.explode("to").alias("to"), "id", "text").select(F.col("to.p").alias("part"), F.col("to.guard").alias("guard"), "id", "text")
     return spread.repartition(parts, "part").sortWithinPartitions("part", "guard", "id", "text")
 
 
 def _bucket(value: Column, cuts: list[int]) -> Column:
-    """How many cuts are at most ``value``, by a binary search written as nested conditions."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value >= cuts[middle], search(middle + 1, high)).otherwise(search(low, middle))
-
-    return search(0, len(cuts))
+    """How many cuts are at most ``value``: a binary search in one array, whatever its length."""
+    if not cuts:
+        return F.lit(0)
+    known = F.lit(cuts)
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        open_, above = at["low"] < at["high"], known[F.least(middle, F.lit(len(cuts) - 1))] <= value
+        return F.struct(F.when(open_ & above, middle + 1).otherwise(at["low"]).alias("low"), F.when(open_ & ~above, middle).otherwise(at["high"]).alias("high"))
+
+    begin = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), begin, halve, lambda at: at["low"])
 
 
 def fingerprint_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, parts: int = PARTS, picked: int = PICKED) -> DataFrame:
