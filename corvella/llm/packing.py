@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvella.session import stable
+
 from ._text import small_batches
 
 #: Python's str.split() breaks at these, the tokenizer's white space does not hold them.
@@ -95,8 +97,10 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, *, end_id: int = 2, longe
     is the text's ids and then ``end_id``; each piece is the only one in its sequence, so sequences hold no padding
     and cross no documents. The bucket is ``length``: batches of one length come from it without padding.
 
-    Null or empty texts give one piece, the end id alone. Repeated rows are packed once per row. Other columns are
-    ignored. An empty table gives no rows. There is no shuffle: a lost task encodes its own split again.
+    Null or empty texts give one piece, the end id alone, null ids too. Repeated rows are packed once per row. Other columns,
+    clashing names among them, are ignored. A very long text is encoded whole, in its worker's memory. An empty table
+    gives no rows. There is no shuffle: a lost task encodes its own split again. ``docs`` that do not come straight from
+    files are written first, so that a task that runs again numbers the same sequences.
     """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
@@ -124,10 +128,18 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, *, end_id: int = 2, longe
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
     names = ["id", "start", "length", "ids", "doc_tokens"]
-    chosen = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    chosen = stable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "texts")  # sequence_id counts rows
+    chosen = small_batches(chosen)
     cut = chosen.mapInArrow(pack, "id long, start long, length long, ids binary, doc_tokens long")
     return cut.select(F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """One folder for each length, ``length=4096`` to ``length=1``: a training job reads a folder in batches that need no
+    padding. Each task adds a file to every folder, so the pieces are not shuffled and a common length is not one
+    task's work. An empty table writes no folder."""
+    pieces.write.partitionBy("length").parquet(path)
+
+
 def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
