@@ -115,6 +115,19 @@ def test_line_dedup(spark, batches, fanout):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(brute_lines(rows), key=key)
 
 
+def test_lines_of_a_long_document(spark):
+    """Thousands of lines, all of which go: the work must not be lines times dropped lines."""
+    text = "\n".join(f"line {i} of a long document that has copies" for i in range(60_000))
+    got = line_dedup.dedup_lines(spark.createDataFrame([(k, text) for k in range(4)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] == text) for r in got) == [(k, 60_000, 0 if k == 3 else 60_000, k == 3) for k in range(4)]
+
+
+def test_runs_are_deleted(spark):
+    docs = spark.createDataFrame([(k, "a line that stands in each of them") for k in range(9)], "doc_id long, text string")
+    line_dedup.dedup_lines(docs).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 def test_line_dedup_edges(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.count() == odd.count() and got.columns.count("n_lines") == 1
@@ -234,6 +247,49 @@ def test_jaccard_join_edges(odd, none):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_ids_are_the_first_set_key(spark, parts):
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
+    answers = set()
+    for order in (rows, rows[::-1], [rows[k] for k in (2, 1, 3, 0)]):
+        got = jaccard_join.jaccard_join(spark.createDataFrame(order, "doc_id long, text string").repartition(parts)).collect()
+        answers.add(tuple(sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got)))
+    assert len(answers) == 1
+    linked = {doc: links for doc, _, links in answers.pop()}
+    assert linked[1] == 1 and linked[2] + linked[3] == 1
+
+
+def test_jaccard_join_on_a_table(spark, data):
+    """All pairs of a larger table: the same classes and links, so a recall of 1 there."""
+    big = data.replace("sf0.001", "sf0.01")
+    sets, links, root = {}, Counter(), {}
+    for key, text in documents(spark, big):
+        w = text.encode().split()
+        sets[key] = frozenset(hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([hash(tuple(w))] if w else [])
+        root[key] = key
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    order = sorted(sets, key=lambda k: len(sets[k]))
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if len(x) < 0.8 * len(y):
+                break
+            if x == y or len(x & y) >= 0.8 * (len(x) + len(y)) / 1.8 - 1e-9:
+                links[a] += 1
+                links[b] += 1
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in catalog.op5_ngram_jaccard(spark, big).collect()}
+    assert sum(links.values()) > 50
+    assert got == {k: (find(k), links[k]) for k in sets}
+
+
 def test_banding_reaches_recall():
     bands, rows = jaccard_join.banding(0.8)
     assert bands * rows <= jaccard_join.HASHES and 1 - (1 - 0.8**rows) ** bands >= jaccard_join.RECALL
@@ -309,6 +365,15 @@ def test_packing(spark, data, odd, none):
     assert packing.pack_power_of_two(none, packing.default_tokenizer()).count() == 0
 
 
+def test_buckets_hold_one_length(spark, data, none, tmp_path):
+    pieces = packing.pack_power_of_two(spark.read.parquet(f"{data}/documents.parquet").limit(40), packing.default_tokenizer(), longest=64)
+    packing.write_buckets(pieces, str(tmp_path / "buckets"))
+    back = spark.read.parquet(str(tmp_path / "buckets"))
+    assert {f.name for f in (tmp_path / "buckets").iterdir() if f.is_dir()} <= {f"length={1 << k}" for k in range(7)}
+    assert sorted(map(tuple, back.select(pieces.columns).collect())) == sorted(map(tuple, pieces.collect()))
+    packing.write_buckets(packing.pack_power_of_two(none, packing.default_tokenizer()), str(tmp_path / "empty"))
+
+
 def test_special_strings_are_the_librarys():
     from tokenizers import Tokenizer
 
@@ -362,6 +427,28 @@ def test_repeats_follow_brute_force(spark, data):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in got} == brute_repeats(rows)
 
 
+def test_repeats_on_a_table(spark, data):
+    big = data.replace("sf0.001", "sf0.01")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in catalog.op9_suffix_dedup(spark, big).collect()}
+    assert got == {k: (n, gone, spans, sha(kept)) for k, (n, gone, spans, kept) in brute_repeats(documents(spark, big)).items()}
+
+
+def test_transforms_are_inverted_by_walking():
+    rng = np.random.default_rng(8)
+    strings = [bytes(rng.choice(list(b"abca "), int(rng.integers(3, 40))).astype(np.uint8)) for _ in range(50)]
+    size = np.array([len(s) for s in strings])
+    shard = np.repeat(np.arange(5), 10)
+    bwt = bwt_dedup.transforms(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, shard)
+    at = 0
+    for k in range(5):
+        own = strings[10 * k : 10 * k + 10]
+        suffixes = sorted((s[i:], j, s[i - 1] + 1 if i else 0) for j, s in enumerate(own) for i in range(len(s) + 1))
+        rows = bwt[at : at + len(suffixes)]
+        assert rows.tolist() == [before for _, _, before in suffixes]
+        at += len(suffixes)
+    assert at == len(bwt)
+
+
 def test_repeats_edges(odd, none):
     got = bwt_dedup.drop_repeats(odd).collect()
     assert len(got) == odd.count()
@@ -394,6 +481,36 @@ def test_pages(spark, data, reader):
         assert got[r["page_id"]] == "\n".join(leaf.text for leaf in html_blocks.leaves(article))
 
 
+#: Pages with their main text, written by hand.
+HAND_PAGES = [
+    ("<html><head><title>T</title></head><body><nav class='menu'><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav><article><h1>On  rivers</h1><p>Water runs\n down &amp; on, year after year, to the sea.</p><p>It carries <b>sand</b> and stones<br>with it.</p></article><footer><p>Copyright 2020. All rights reserved.</p></footer></body></html>",
+     "On rivers\nWater runs down & on, year after year, to the sea.\nIt carries sand and stones with it."),
+    ("<body><div id='cookie-notice'><p>We use cookies to improve your experience.</p><button>Accept</button></div><header><a href='/'>Daily Paper</a></header><main><h2>Wool</h2><p>Sheep are shorn in spring, when the days grow warm.</p><script>track('x<p>y</p>')</script><ul><li>Wash it</li><li>Card it</li></ul></main><aside class='sidebar'><h3>Popular</h3><a href='/1'>Ten cats</a></aside></body>",
+     "Wool\nSheep are shorn in spring, when the days grow warm.\nWash it\nCard it"),
+    ("<body><article class='post'><p>Bread needs flour, water, salt and time &#8212; mostly time.</p></article><section class='comments'><div class='comment'><p>Great post, thanks!</p></div></section><form action='/s'><label>Email</label><input><button>Subscribe</button></form></body>",
+     "Bread needs flour, water, salt and time — mostly time."),
+]
+
+
+def test_hand_written_pages(reader):
+    assert html_blocks.main_texts([page for page, _ in HAND_PAGES], reader) == [text for _, text in HAND_PAGES]
+
+
+def test_long_and_endless_pages(reader):
+    import time
+
+    began = time.time()
+    for broken in ('<a "', "<a '\"", "<svg \"", "<!<", "<script ", "<div>"):
+        html_blocks.leaves(broken * (1_000_000 // len(broken)))
+    assert time.time() - began < 30
+    page = "<article><h1>Title of it</h1>" + "".join(f"<p>This is line {i} of a very long article, one of many.</p>" for i in range(100_000)) + "</article>"
+    got = html_blocks.main_texts(["<p>short</p>", page], reader)
+    assert got[1].count("\n") > 99_000
+    blocks = html_blocks.leaves(page)[:3000]
+    x, mask, _ = html_blocks.padded([(html_blocks.features(blocks), np.zeros(len(blocks), np.float32))])
+    assert np.abs(reader.chances(x, mask)[:, 0] - reader.long_page(blocks, 700)).max() < 1e-4
+
+
 def test_leaves_of_broken_markup():
     page = "<!-- <p>no</p> --><p>a <b>b<br>c<p>d &amp; e<script>var x='</p>';</script><ul><li>one<li>two</ul>1 < 2<style>p{}</style>"
     assert [leaf.text for leaf in html_blocks.leaves(page)] == ["a b c", "d & e", "one", "two", "1 < 2"]

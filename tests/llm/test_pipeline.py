@@ -29,3 +29,17 @@ def test_edges(spark, data):
         for _, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, data)
         frame.collect()
+
+
+def test_clashing_columns_stay(spark, data):
+    """Columns named like those of the operators keep their values through every stage that returns documents."""
+    rows = [(k, f"line {k} of its own here\nthe same line stands in all of them\n" + f"passage {k // 2} " * 9, "en", "s", 1, -7, -8, -9, "x") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, n_lines int, N_Bytes long, n_dropped long, kept_bytes string")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        got = stage(spark, docs, data)
+        assert got.schema == docs.schema, name
+        assert {(r["n_lines"], r["N_Bytes"], r["n_dropped"], r["kept_bytes"]) for r in got.collect()} == {(-7, -8, -9, "x")}, name
+        assert got.where("n_chars <> length(text)").count() == (0 if name != "near_duplicates" else got.count())
+    bare = docs.select("doc_id", "text")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, bare, data).columns == ["doc_id", "text"]
