@@ -123,7 +123,7 @@ SELECT doc_id, CASE WHEN refers THEN 'references_other_submission' WHEN campaign
 def campaign_classifier(documents):
     """Class, count and sums of signals of every comment."""
     found = C.classify(_dressed(documents), text_col="raw", title_col="title")
-    return found.select("doc_id", "classification", "campaign_count", "single", "campaign", "hints", "n_parts", "n_pages")
+    return found.select("doc_id", "classification", "campaign_count", "single", "campaign", "hints", F.col("n_parts").cast("long").alias("n_parts"), F.col("n_pages").cast("long").alias("n_pages"))
 
 
 @query("documents", oracle=_WITH + """
