@@ -113,6 +113,13 @@ def parse_posted(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(F.trim(text), "Z$", ""))
 
 
+def sanitize_date(text: Column) -> Column:
+    """The day of an ISO date or time; any other text as it is, an empty one null."""
+    value = blank_to_null(text)
+    iso = value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9:.]+([+-][0-9:]+|Z)?)?$")
+    return F.when(iso, F.coalesce(F.substring(value, 1, 10).try_cast("date").cast("string"), value)).otherwise(value)
+
+
 def before(text: Column, cutoff: str) -> Column:
     """Posted before the cutoff; unparsed dates are not."""
     return F.coalesce(parse_posted(text) < F.lit(cutoff).cast("timestamp"), F.lit(False))
