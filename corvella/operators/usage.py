@@ -37,12 +37,29 @@ def distribution(human: DataFrame, ai: DataFrame, min_human: int = 5, min_ai: in
     h = presence_counts(human).withColumnRenamed("count", "human_count").where(F.col("human_count") >= min_human)
     a = presence_counts(ai).withColumnRenamed("count", "ai_count").where(F.col("ai_count") >= min_ai)
     both = h.join(a, "word").crossJoin(F.broadcast(n)).where("human_count < nh and ai_count < na")
-    p, q = F.col("human_count") / F.col("nh"), F.col("ai_count") / F.col("na")
-    out = both.select("word", "human_count", "ai_count", F.log(p).alias("log_p"), F.log(q).alias("log_q"), F.log1p(-p).alias("log1m_p"), F.log1p(-q).alias("log1m_q"))
-    out = out.withColumn("log_odds_ratio", F.col("log_p") - F.col("log1m_p") - F.col("log_q") + F.col("log1m_q"))
+    out = _log_rates(both)
     return out if max_vocab is None else out.orderBy(F.desc("ai_count"), "word").limit(max_vocab)
 
 
+#: Stands in every sentence, so that its counts are the numbers of sentences; no word holds it.
+EVERY = "\u0000"
+
+
+def labelled_distribution(sentences: DataFrame, human: Column, ai: Column, min_human: int = 5, min_ai: int = 3) -> DataFrame:
+    """``distribution`` of the sentences that are ``human`` and those that are ``ai``, in one reading of the table."""
+    marked = sentences.select(human.cast("int").alias("h"), ai.cast("int").alias("a"), F.explode(F.array_append(F.array_distinct("words"), F.lit(EVERY))).alias("word"))
+    counts = marked.groupBy("word").agg(F.coalesce(F.sum("h"), F.lit(0)).alias("human_count"), F.coalesce(F.sum("a"), F.lit(0)).alias("ai_count"))
+    n = counts.where(F.col("word") == EVERY).select(F.col("human_count").alias("nh"), F.col("ai_count").alias("na"))
+    kept = counts.where((F.col("word") != EVERY) & (F.col("human_count") >= min_human) & (F.col("ai_count") >= min_ai))
+    return _log_rates(kept.crossJoin(F.broadcast(n)).where("human_count < nh and ai_count < na"))
+
+
+def _log_rates(counted: DataFrame) -> DataFrame:
+    p, q = F.col("human_count") / F.col("nh"), F.col("ai_count") / F.col("na")
+    out = counted.select("word", "human_count", "ai_count", F.log(p).alias("log_p"), F.log(q).alias("log_q"), F.log1p(-p).alias("log1m_p"), F.log1p(-q).alias("log1m_q"))
+    return out.withColumn("log_odds_ratio", F.col("log_p") - F.col("log1m_p") - F.col("log_q") + F.col("log1m_q"))
+
+
 def postprocess(dist: DataFrame, min_human: int, min_ai: int, min_length: int, min_lor: float, max_vocab: int) -> DataFrame:
     kept = dist.where((F.col("human_count") >= min_human) & (F.col("ai_count") >= min_ai) & (F.length("word") >= min_length) & (F.abs("log_odds_ratio") >= min_lor))
     return kept.orderBy(F.desc("ai_count"), "word").limit(max_vocab)

@@ -119,7 +119,7 @@ def comment_labels(orders):
 
 @query("documents", oracle=f"""
 WITH tf AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_W}) AS term FROM documents) GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
-df AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 ORDER BY cf DESC, term LIMIT 200),
+df AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 ORDER BY cf DESC, term LIMIT 4096),
 r AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n)
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 9) AS weight FROM r""")
 def tf_idf_weights(documents):
@@ -173,11 +173,11 @@ def _usage(documents, labels):
     """Human (1) and other (0) sentences, their distribution and the log probabilities of all sentences."""
     joined = documents.join(labels.select("doc_id", "quality"), "doc_id", "left")
     sent = U.sentence_table(joined, keep=("source", "quality"))
-    dist = U.distribution(sent.where("quality = 1"), sent.where("quality = 0"))
+    dist = U.labelled_distribution(sent, F.col("quality") == 1, F.col("quality") == 0)
     return sent, dist, U.sentence_log_probs(sent, dist, ("source",))
 
 
-@query("documents", "labels", oracle=_USAGE + "SELECT source, word, count(*) AS count FROM w GROUP BY 1, 2 HAVING count(*) >= 20")
+@query("documents", "labels", oracle=_USAGE + "SELECT source, word, count(*) AS count FROM w GROUP BY 1, 2")
 def word_presence_by_source(documents, labels):
     """In how many sentences of each source a word stands."""
     return U.presence_counts(_usage(documents, labels)[0], ("source",))
@@ -225,7 +225,7 @@ def mixture_fraction_bootstrap(documents, labels):
 
 @query("documents", "labels", oracle=_USAGE + """, pool AS (SELECT word, human_count / nh AS mu FROM dist, n), a AS (SELECT source, count(*) AS n FROM sent GROUP BY 1),
 cw AS (SELECT source, word, count(*) AS c FROM w GROUP BY 1, 2)
-SELECT source, word, round(greatest((700 * mu + c) / (700 + a.n), 1e-10), 9) AS p FROM cw JOIN pool USING (word) JOIN a USING (source)""")
+SELECT source, word, round(greatest((700 * mu + coalesce(c, 0)) / (700 + a.n), 1e-10), 9) AS p FROM a CROSS JOIN pool LEFT JOIN cw USING (source, word)""")
 def empirical_bayes_shrinkage(documents, labels):
     """Rates of the whole vocabulary in each source, drawn to the pool."""
     sent, dist, _ = _usage(documents, labels)

@@ -42,7 +42,7 @@ def sentence_tokenize_older(documents):
 @query("documents", oracle=f"""
 WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents)
 SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN len(list_distinct(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:], ' '))))
-ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS n FROM t""")
+ELSE len(list_distinct(CASE WHEN len(w) < 5 THEN list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:], ' ')) ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) END AS n FROM t""")
 def shingle_sets(documents):
     """The size of each text's set of five-word shingles."""
     return documents.select("doc_id", F.size(T.shingles(T.words(F.col("text")), 5)).cast("long").alias("n"))
@@ -198,12 +198,12 @@ def html_to_text(pages):
 
 _SETS = f"""
 WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n]+'), lambda w: w <> '') AS w FROM documents),
-s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM t WHERE len(w) >= 20),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:], ' ')) ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM t WHERE len(w) >= 1),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 p AS (SELECT c.a, c.b, k / (x.n + y.n - k) AS j FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE k / (x.n + y.n - k) >= 0.8),
 e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
-reach AS (SELECT doc_id AS id, doc_id AS r FROM n UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r),
 cl AS (SELECT id, min(r) AS cluster FROM reach GROUP BY 1),
 rep AS (SELECT cluster, arg_min(id, (-d.n_chars, id)) AS representative, count(*) AS members FROM cl JOIN documents d ON d.doc_id = cl.id GROUP BY 1)
 """
@@ -214,12 +214,16 @@ def _shingles(documents):
     return D.shingle_table(documents, min_tokens=1, clean=False)
 
 
+def _classes(documents):
+    return D.set_classes(D.shingle_sets(documents, min_tokens=1, clean=False))
+
+
 def _clusters(documents):
-    clusters = D.components(D.jaccard_pairs(_shingles(documents)), documents.select(F.col("doc_id").alias("id")).distinct())
+    clusters = D.clusters(_classes(documents), documents.select(F.col("doc_id").alias("id")).distinct())
     return clusters, D.representatives(clusters, documents.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length")))
 
 
-@query("documents", oracle=_SETS + "SELECT g AS shingle, count(*) AS df FROM s GROUP BY 1 HAVING count(*) >= 3")
+@query("documents", oracle=_SETS + "SELECT g AS shingle, count(*) AS df FROM s GROUP BY 1")
 def shingle_document_frequency(documents):
     return D.document_frequency(_shingles(documents))
 
@@ -227,7 +231,7 @@ def shingle_document_frequency(documents):
 @query("documents", oracle=_SETS + "SELECT a, b, round(j, 9) AS jaccard FROM p")
 def near_duplicate_pairs(documents):
     """Verified pairs of near duplicates by prefix filtering."""
-    return D.jaccard_pairs(_shingles(documents)).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    return D.all_pairs(_classes(documents)).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("documents", oracle=_SETS + "SELECT id, cluster FROM cl")
