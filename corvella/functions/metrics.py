@@ -157,6 +157,147 @@ def sari(source: str, output: str, reference: str) -> float:
     return 100 * total / 4
 
 
+def _stemless(text: str | None) -> list[str]:
+    return [t for t in _tokens(text) if t.isalnum()]
+
+
+def _sentences(text: str | None) -> list[str]:
+    return [p for p in re.split(r"(?<=[.!?])\s+|\n", text or "") if p.strip()]
+
+
+def ibleu(source: str, output: str, reference: str, share: float = 0.9) -> float:
+    """BLEU against the reference less BLEU against the source."""
+    return share * bleu(output, reference) - (1 - share) * bleu(output, source)
+
+
+def rouge_lsum(output: str, reference: str) -> float:
+    """F score of the union of each reference sentence's longest common subsequences with the output's sentences."""
+    mine, theirs = [_stemless(p) for p in _sentences(output)], [_stemless(p) for p in _sentences(reference)]
+    left, right = Counter(t for p in mine for t in p), Counter(t for p in theirs for t in p)
+    hit = 0
+    for want in theirs:
+        places: set[int] = set()
+        for have in mine:
+            places |= _lcs_places(want, have)
+        for k in sorted(places):
+            token = want[k]
+            if left[token] > 0 and right[token] > 0:
+                left[token] -= 1
+                right[token] -= 1
+                hit += 1
+    a, b = sum(map(len, mine)), sum(map(len, theirs))
+    return 2 * hit / (a + b) if hit else 0.0
+
+
+def _lcs_places(a: list[str], b: list[str]) -> set[int]:
+    """Places in ``a`` of one longest common subsequence with ``b``."""
+    grid = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            grid[i + 1][j + 1] = grid[i][j] + 1 if x == y else max(grid[i][j + 1], grid[i + 1][j])
+    i, j, found = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            found.add(i - 1)
+            i, j = i - 1, j - 1
+        elif grid[i - 1][j] >= grid[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
+def update_rouge(source: str, output: str, reference: str) -> float:
+    """ROUGE-1 of the sentences that the source lacks; two texts without any are alike."""
+    known = set(_sentences(source))
+    fresh = [" ".join(p for p in _sentences(t) if p not in known) for t in (output, reference)]
+    if not fresh[0] and not fresh[1]:
+        return 1.0
+    return rouge(fresh[0], fresh[1])[0]
+
+
+def ter(output: str, reference: str) -> float:
+    """Word edits over the words of the reference, in per cent; moves of blocks count as their edits."""
+    hyp, ref = (output or "").split(), (reference or "").split()
+    row = list(range(len(ref) + 1))
+    for i, x in enumerate(hyp, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(ref, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 100 * row[-1] / len(ref) if ref else (0.0 if not hyp else 100.0)
+
+
+def nist(output: str, reference: str, longest: int = 5) -> float:
+    """Matched n-grams weighed by what they tell in the reference, with the penalty for length."""
+    hyp, ref = _tokens(output), _tokens(reference)
+    if not hyp or not ref:
+        return 0.0
+    counts = {n: _grams(ref, n) for n in range(1, longest + 1)}
+
+    def told(gram: tuple[str, ...]) -> float:
+        above = len(ref) if len(gram) == 1 else counts[len(gram) - 1][gram[:-1]]
+        return math.log2(above / counts[len(gram)][gram])
+
+    score = 0.0
+    for n in range(1, longest + 1):
+        h = _grams(hyp, n)
+        if total := sum(h.values()):
+            score += sum(told(g) * c for g, c in (h & counts[n]).items()) / total
+    ratio = min(1.0, len(hyp) / len(ref))
+    return score * math.exp(math.log(0.5) / math.log(1.5) ** 2 * math.log(ratio) ** 2)
+
+
+def pseudo_parent(source: str, output: str, reference: str, share: float = 0.5) -> float:
+    """F of n-gram precision, where the reference or the source holds them, and recall of both."""
+    src, hyp, ref = set(_stemless(source)), _stemless(output), _stemless(reference)
+    precisions, recalls = [], []
+    for n in range(1, 5):
+        h, r = _grams(hyp, n), _grams(ref, n)
+        if not h or not r:
+            continue
+        good = sum(c if g in r else c * sum(t in src for t in g) / n for g, c in h.items())
+        precisions.append(good / sum(h.values()))
+        recalls.append(sum((h & r).values()) / sum(r.values()))
+    if not precisions:
+        return 0.0
+    mean = lambda xs: math.exp(sum(math.log(max(x, 1e-9)) for x in xs) / len(xs))
+    covered = len(src & set(hyp)) / len(src) if src else 1.0
+    p, r = mean(precisions), mean(recalls) ** (1 - share) * max(covered, 1e-9) ** share
+    return 2 * p * r / (p + r)
+
+
+def char_cut(output: str, reference: str, shortest: int = 3) -> float:
+    """The share of characters outside common blocks of ``shortest`` or more, of both texts."""
+    from difflib import SequenceMatcher
+
+    a, b = output or "", reference or ""
+    if not a and not b:
+        return 0.0
+    common = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= shortest)
+    return 1 - 2 * common / (len(a) + len(b))
+
+
+def kendall(a: list[float], b: list[float]) -> float:
+    """Tau-b of two lists."""
+    pairs = [((a[i] > a[j]) - (a[i] < a[j]), (b[i] > b[j]) - (b[i] < b[j])) for i in range(len(a)) for j in range(i)]
+    x, y = sum(p != 0 for p, _ in pairs), sum(q != 0 for _, q in pairs)
+    return sum(p * q for p, q in pairs) / math.sqrt(x * y) if x and y else math.nan
+
+
+def diff_html(a: str, b: str) -> str:
+    """Two texts word by word: what goes is struck out, what comes is inserted."""
+    from difflib import SequenceMatcher
+    from html import escape
+
+    x, y, out = (a or "").split(), (b or "").split(), []
+    for kind, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        if kind == "equal":
+            out.append(escape(" ".join(x[i:j])))
+        else:
+            out += [f"<del>{escape(' '.join(x[i:j]))}</del>"] * (j > i) + [f"<ins>{escape(' '.join(y[k:m]))}</ins>"] * (m > k)
+    return " ".join(out)
+
+
 def fkgl(text: str) -> float:
     """Grade level with syllables counted as groups of vowels."""
     words = re.findall(r"[^\W\d_]+", text or "")
@@ -167,8 +308,9 @@ def fkgl(text: str) -> float:
     return 0.39 * len(words) / parts + 11.8 * beats / len(words) - 15.59
 
 
-def self_bleu(text: str, most: int = 500) -> float:
-    """The mean BLEU-3 of each sentence against the n-grams of all others; one sentence gives 1.
+def self_bleu(text: str, most: int | None = None) -> float:
+    """The mean BLEU-3 of each sentence against the n-grams of all others; one sentence gives 1. All sentences count unless
+    ``most`` says how many of the first do (the reference reads 500).
 
     The others' counts are the sums less the sentence's own, so the work follows the length of the text.
     """
@@ -206,6 +348,14 @@ def scorer(function, kind: str = "double"):
     return run
 
 
+def scorer3(function, kind: str = "double"):
+    @F.pandas_udf(kind)
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([function(x, y, z) for x, y, z in zip(a, b, c, strict=True)])
+
+    return run
+
+
 def scorer1(function, kind: str = "double"):
     @F.pandas_udf(kind)
     def run(a: pd.Series) -> pd.Series:

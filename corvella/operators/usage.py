@@ -17,6 +17,8 @@ USABLE = 10
 OUTSIDE = -13.8
 #: Bootstrap resamples, as many as the reference draws.
 BOOTSTRAPS = 1000
+#: Log ratios are binned to so many digits; beyond the reach they weigh as much as there.
+RATIO_DIGITS, RATIO_REACH = 4, 50.0
 
 
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -111,22 +113,25 @@ def fit_alpha(log_ratio: np.ndarray, low: float = 1e-6, high: float = 1 - 1e-6,
 def mixture(log_probs: DataFrame, keys: tuple[str, ...], bootstraps: int = BOOTSTRAPS, seed: int = 42) -> DataFrame:
     """(keys, n_sentences, alpha, ci_lower, ci_upper) of each stratum; null below ``USABLE`` sentences.
 
-    Each group is one number a sentence, sorted, so the draws do not hang on the order of arrival; resamples are
-    multinomial weights.
+    Sentences of one log ratio, to ``RATIO_DIGITS``, are counted before a stratum meets in one task: it sees at most a
+    histogram of 2 * ``RATIO_REACH`` * 10**``RATIO_DIGITS`` bins, whatever its sentences. Resamples are multinomial weights
+    of the bins, which is the same as drawing sentences.
     """
 
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ratio = np.sort(group["ratio"].to_numpy())
-        if len(ratio) < USABLE:
+        group = group.sort_values("ratio")
+        ratio, count = group["ratio"].to_numpy(), group["n"].to_numpy()
+        total = int(count.sum())
+        if total < USABLE:
             fitted = [math.nan] * 3
         else:
             rng = np.random.default_rng(seed)
-            share = np.full(len(ratio), 1 / len(ratio))
-            draws = [fit_alpha(ratio, weights=rng.multinomial(len(ratio), share)) for _ in range(bootstraps)]
-            fitted = [fit_alpha(ratio), *np.percentile(draws, [2.5, 97.5])]
-        return pd.DataFrame([[*key, len(ratio), *fitted]], columns=[*keys, "n_sentences", "alpha", "ci_lower", "ci_upper"])
+            draws = [fit_alpha(ratio, weights=rng.multinomial(total, count / total)) for _ in range(bootstraps)]
+            fitted = [fit_alpha(ratio, weights=count.astype(float)), *np.percentile(draws, [2.5, 97.5])]
+        return pd.DataFrame([[*key, total, *fitted]], columns=[*keys, "n_sentences", "alpha", "ci_lower", "ci_upper"])
 
-    ratios = log_probs.select(*keys, (F.col("log_q") - F.col("log_p")).alias("ratio"))
+    ratio = F.round(F.greatest(F.lit(-RATIO_REACH), F.least(F.lit(RATIO_REACH), F.col("log_q") - F.col("log_p"))), RATIO_DIGITS)
+    ratios = log_probs.select(*keys, ratio.alias("ratio")).groupBy(*keys, "ratio").agg(F.count("*").alias("n"))
     kinds = ", ".join(f"{k} {log_probs.schema[k].dataType.simpleString()}" for k in keys)
     return ratios.groupBy(*keys).applyInPandas(one, f"{kinds}, n_sentences long, alpha double, ci_lower double, ci_upper double")
 
@@ -140,6 +145,45 @@ def grid_alpha(log_probs: DataFrame, keys: tuple[str, ...], steps: int = 99) ->
     return means.groupBy(*keys).agg(F.max_by("alpha", F.struct("ll", -F.col("alpha"))).alias("alpha"), F.max("n").alias("n"))
 
 
+def map_alpha(log_probs: DataFrame, prior: float, strength: float, least: int = 3, steps: int = 99) -> DataFrame:
+    """(id, n, alpha): the share of each document that is most likely under a Beta(strength * prior, strength * (1 - prior)),
+    on a grid; documents of fewer than ``least`` usable sentences are left out."""
+    grid = log_probs.sparkSession.range(1, steps + 1).select((F.col("id") / (steps + 1)).alias("alpha"))
+    r = F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("log_q") - F.col("log_p"))))
+    rated = log_probs.select("id", r.alias("r")).crossJoin(F.broadcast(grid))
+    mixed = F.sum(F.log(F.greatest(F.lit(1e-300), (1 - F.col("alpha")) + F.col("alpha") * F.col("r"))))
+    weight = (strength * prior - 1) * F.log("alpha") + (strength * (1 - prior) - 1) * F.log(1 - F.col("alpha"))
+    scored = rated.groupBy("id", "alpha").agg(mixed.alias("ll"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return scored.groupBy("id").agg(F.max("n").alias("n"), F.max_by("alpha", F.struct(F.round(F.col("ll") + weight, 7), -F.col("alpha"))).alias("alpha"))
+
+
+def kappa_sweep(sentences: DataFrame, counts: DataFrame, dist: DataFrame, kappas: tuple[float, ...], key: str) -> DataFrame:
+    """(kappa, key, alpha, n): the share that each key seems to have when its own rates, shrunk with each kappa, stand for
+    human text; of human text it should be none."""
+    pool = dist.select("word", F.exp("log_p").alias("mu"))
+    other = dist.select("word", F.col("log_q").alias("lq"), F.col("log1m_q").alias("mq"))
+    rates = None
+    for kappa in kappas:
+        shrunk = shrink(counts, pool, kappa, key).withColumn("kappa", F.lit(float(kappa)))
+        rates = shrunk if rates is None else rates.unionByName(shrunk)
+    p = F.least(F.col("p"), F.lit(1 - 1e-10))
+    rates = rates.select("kappa", key, "word", F.log(p).alias("lp"), F.log1p(-p).alias("mp")).join(F.broadcast(other), "word")
+    base = rates.groupBy("kappa", key).agg((F.sum("mq") - F.sum("mp")).alias("b"))
+    gain = rates.select("kappa", key, "word", (F.col("lq") - F.col("mq") - F.col("lp") + F.col("mp")).alias("d"))
+    held = sentences.select("id", key, "sent", F.explode(F.array_distinct("words")).alias("word"))
+    sums = held.join(gain, [key, "word"]).groupBy("kappa", key, "id", "sent").agg(F.sum("d").alias("d"))
+    ratio = sums.join(F.broadcast(base), ["kappa", key]).select("kappa", key, F.lit(0.0).alias("log_p"), (F.col("b") + F.col("d")).alias("log_q"))
+    return grid_alpha(ratio, ("kappa", key))
+
+
+def sweep_objective(strata: DataFrame, early: Column, kind: str, alpha: str, n: str) -> DataFrame:
+    """(score): the mean over kinds of the weighted share after the cut less three times that before and its deviation; -1
+    where no kind has both."""
+    weighed = lambda side: F.sum(F.when(side, F.col(alpha) * F.col(n))) / F.sum(F.when(side, F.col(n)))
+    kinds = strata.groupBy(kind).agg(weighed(early).alias("pre"), weighed(~early).alias("post"), F.stddev_samp(F.when(early, F.col(alpha))).alias("std"))
+    return kinds.agg(F.coalesce(F.avg(F.col("post") - 3 * F.col("pre") - F.col("std")), F.lit(-1.0)).alias("score"))
+
+
 def shrink(counts: DataFrame, pool: DataFrame, kappa: float, key: str) -> DataFrame:
     """(key, word, p): (kappa mu + n_w) / (kappa + n), at least 1e-10, of every word of the pool for every key, also of
     those that the key never uses; ``counts`` has key, word, count, n."""
