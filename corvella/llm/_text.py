@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +18,34 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def small_batches(df: DataFrame, megabytes: int = 16) -> DataFrame:
-    """Bound what one Arrow batch holds, so that a worker's memory does not follow the longest texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    """Bound what one Arrow batch holds, so that a worker's memory does not follow the longest texts.
+
+    The bound is a setting of the session and stays for later queries: only a larger one is lowered, and no result hangs
+    on it.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)):
+        now = df.sparkSession.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            df.sparkSession.conf.set(key, str(most))
     return df
 
 
+def tidied(function):
+    """A map over batches that gives the memory it has freed back when its partition ends: workers live on for other
+    stages, and what the allocators keep would add up."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corvella.session import shuffle_partitions, stable
 
-from ._text import ODD, mix, pieces, small_batches, utf8
+from ._text import ODD, mix, pieces, small_batches, tidied, utf8
 
 LENGTH, KMER = 50, 20
 #: Bits of the filter of shared k-mers that is broadcast; it lets k-mers of one document through as it fills, never the
@@ -383,6 +383,7 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     docs = stable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "texts")
     rows = small_batches(docs, PIECE >> 20).select("id", F.xxhash64("text").alias("mark"), "text").where(f"id is not null and octet_length(text) >= {length}")
 
+    @tidied
     def key_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = utf8(batch.column(2))
@@ -423,6 +424,7 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     strings = min(shared, every) + (every - min(shared, every)) * filled**2
     buckets = max(1, min(shuffle_partitions(spark), int(strings) // 64), int(strings * 1.3 * (length + 15)) // BUCKET)
 
+    @tidied
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in DEALT_SCHEMA.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
@@ -557,6 +559,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     name, kind = (text_col, pa.string()) if as_text else ("kept_bytes", pa.binary())
     joined = texts.join(spans, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64("__text") == F.col("__mark")), "left").select(*rest, "__text", "__spans")
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, counts = [], np.zeros((batch.num_rows, 3), dtype=np.int64)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import small_batches
+from ._text import small_batches, tidied
 
 #: HTML elements that begin and end blocks.
 BLOCKS = frozenset(
@@ -579,6 +579,7 @@ def extract(pages: DataFrame, model: BiLstm, *, id_col: str = "page_id", url_col
     of the page, its blocks and one stretch of vectors; nothing is shuffled.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corvella.session import materialize
 
-from ._text import ODD, list_array, mix, pieces, run_hashes, small_batches, utf8, words
+from ._text import ODD, list_array, mix, pieces, run_hashes, small_batches, tidied, utf8, words
 from .components import connected_components
 from .order_minhash import multipliers
 
@@ -159,6 +159,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, id_col:
     """
     bands, rows = banding(threshold, hashes, recall)
 
+    @tidied
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = utf8(batch.column(1))
@@ -189,6 +190,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, id_col:
     placed = grouped.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     text_of = source.join(placed, (source["id"] == placed["rep"]) & (source["mark"] == placed["rep_mark"])).select("rep", "root", "blocks", "block", "copies", "bands", "text")
 
+    @tidied
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = utf8(batch.column(6))

@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import held_out, pieces, small_batches, utf8
+from ._text import held_out, pieces, small_batches, tidied, utf8
 
 BUCKETS = 1 << 12
-#: Rows a language that training reads at most; every language is learned.
-SAMPLE = 800
+#: Rows a language that training reads at most, and rows in all; every language is learned, from an equal share of the
+#: latter where there are many. The driver holds ``TOTAL`` vectors of ``BUCKETS`` floats: 200 MB.
+SAMPLE, TOTAL = 800, 12_000
 
 #: Families of ISO 639-1 codes. A code that is not here is a family of its own.
 FAMILIES = {
@@ -71,19 +72,21 @@ def grams(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return matrix / np.where(norm == 0, 1, norm)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear support vector machine, y in {-1, 1}, by accelerated full gradients; classes weigh alike."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = ahead = np.zeros(x.shape[1] + 1)  # the bias is last
+def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Squared-hinge linear support vector machines, one for each column of y in {-1, 1}, by accelerated full gradients;
+    the two classes of a machine weigh alike. Weights (features, machines) and biases."""
+    right = y > 0
+    weight = np.where(right, 0.5 / np.maximum(1, right.sum(axis=0)), 0.5 / np.maximum(1, (~right).sum(axis=0)))
+    w = ahead = np.zeros((x.shape[1] + 1, y.shape[1]))  # the bias is last
     rate, momentum = 1 / (2 * 2.0 + penalty), 1.0
     for _ in range(steps):
         # products in the type of x, so that no wider copy of it is made
         slack = np.maximum(0, 1 - y * (x @ ahead[:-1].astype(x.dtype) + ahead[-1]))
         pull = weight * y * slack
-        fresh = ahead - rate * (penalty * ahead - 2 * np.append(pull.astype(x.dtype) @ x, pull.sum()))
+        fresh = ahead - rate * (penalty * ahead - 2 * np.vstack([x.T @ pull.astype(x.dtype), pull.sum(axis=0)]))
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         w, ahead, momentum = fresh, fresh + (momentum - 1) / following * (fresh - w), following
-    return w[:-1].astype(np.float32), float(w[-1])
+    return w[:-1].astype(np.float32), w[-1].astype(np.float32)
 
 
 class Hierarchy:
@@ -96,18 +99,19 @@ class Hierarchy:
             self.families.setdefault(family_of(lang), []).append(lang)
         of = np.array([family_of(lang) for lang in langs])
         self.names = sorted(self.families)
-        self.top = [linear_svm(x, np.where(of == f, 1.0, -1.0)) for f in self.names] if len(self.names) > 1 else []
+        self.top = linear_svm(x, np.where(of[:, None] == np.array(self.names), 1.0, -1.0)) if len(self.names) > 1 else None
         self.pairs = {}
         for langs_in in self.families.values():
             for a, b in combinations(langs_in, 2):
                 chosen = (names == a) | (names == b)
-                self.pairs[a, b] = linear_svm(x[chosen], np.where(names[chosen] == a, 1.0, -1.0))
+                w, bias = linear_svm(x[chosen], np.where(names[chosen] == a, 1.0, -1.0)[:, None])
+                self.pairs[a, b] = w[:, 0], bias[0]
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The language and the product of the logistic margins of the choices that led to it."""
         sure = np.ones(len(x), dtype=np.float64)
         if self.top:
-            margins = np.stack([x @ w + b for w, b in self.top], axis=1)
+            margins = x @ self.top[0] + self.top[1]
             family = margins.argmax(axis=1)
             sure = 1 / (1 + np.exp(-2 * margins.max(axis=1)))
         else:
@@ -133,14 +137,19 @@ class Hierarchy:
         return langs, sure
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Hierarchy | None:
-    """Fit on at most ``sample`` rows of every language, those least by a hash of id and text; executors turn them into
-    vectors before the driver sees them. None where no row has a language."""
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, total: int = TOTAL) -> Hierarchy | None:
+    """Fit on at most ``sample`` rows of every language and ``total`` in all (two of each at least), those least by a hash
+    of id and text; executors turn them into vectors before the driver sees them.
+
+    None where no row has a language, an empty table included. Null texts and texts without a letter teach nothing; rows of
+    one id are rows of their own. Very long texts are read whole. Other columns are not read.
+    """
 
     def packed(row: np.ndarray) -> bytes:
         slots = np.flatnonzero(row)
         return row[slots].tobytes() + slots.astype(np.uint16).tobytes()
 
+    @tidied
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = utf8(batch.column(1))
@@ -150,11 +159,13 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
 
     rows = small_batches(labelled).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("o")).where("lang is not null and text rlike '\\\\p{L}'")
     # about twice the sample by a threshold on the hash, then the least: no sort of all rows
-    share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.floor(share * 1_000_000) + 1).alias("below"))
+    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    quota = F.least(F.lit(sample), F.greatest(F.lit(2), F.floor(F.lit(total) / F.count("*").over(Window.partitionBy())))).alias("quota")  # a row a language
+    share = F.least(F.lit(1.0), 2.0 * F.col("quota") / F.col("n"))
+    counts = by_lang.select("lang", "n", quota).select("lang", "quota", (F.floor(share * 1_000_000) + 1).alias("below"))
     near = rows.join(F.broadcast(counts), "lang").where(F.pmod("o", F.lit(1_000_000)) < F.col("below"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))
-    chosen = near.withColumn("place", place).where(F.col("place") <= sample)
+    chosen = near.withColumn("place", place).where(F.col("place") <= F.col("quota"))
     got = sorted(chosen.select("lang", "text").mapInArrow(vectors, "lang string, vector binary").collect())
     if not got:
         return None
@@ -172,6 +183,7 @@ def identify(docs: DataFrame, model: Hierarchy | None, *, text_col: str = "text"
     each; other columns, clashing names among them, are ignored; an empty table gives no rows.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = utf8(batch.column(1))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import held_out, list_array, pieces, run_hashes, small_batches, utf8, words
+from ._text import held_out, list_array, pieces, run_hashes, small_batches, tidied, utf8, words
 
 #: Labelled documents a class that training reads at most.
 SAMPLE = 1500
@@ -161,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on at most ``sample`` labelled documents a class outside the held-out fold, those least by a hash of the id.
     Executors turn their texts into line features; only these reach the driver. Without labels every score is 0.5."""
 
+    @tidied
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = utf8(batch.column(1))
@@ -196,6 +197,7 @@ def score(docs: DataFrame, model: LineCrf, *, text_col: str = "text", score_col:
     kept = [c for c in docs.columns if c != score_col]
     at = kept.index(text_col)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = utf8(batch.column(at))

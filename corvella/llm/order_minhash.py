@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvella.session import shuffle_partitions
 
-from ._text import ODD, mix, small_batches
+from ._text import ODD, mix, small_batches, tidied
 
 K, PARTS, PICKED = 8, 64, 2
 #: Hashes that are ordered at a time.
@@ -158,6 +158,7 @@ def fingerprint_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     names = ["id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, out, held = None, [[] for _ in names], 0
 

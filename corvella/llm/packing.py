@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvella.session import stable
 
-from ._text import small_batches
+from ._text import small_batches, tidied
 
 #: Python's str.split() breaks at these, the tokenizer's white space does not hold them.
 NOT_BREAKS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -106,6 +106,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, *, end_id: int = 2, longe
         raise ValueError("the longest sequence must be a power of two")
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         for batch in batches:

@@ -333,6 +333,32 @@ def test_long_words():
 # 7
 
 
+def test_svm_is_at_its_optimum():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 6))
+    y = np.where(x @ rng.normal(size=(6, 2)) + 0.3 * rng.normal(size=(120, 2)) > 0, 1.0, -1.0)
+    penalty = 1e-2
+    w, bias = language_id.linear_svm(x, y, penalty, 4000)
+
+    def loss(w, bias):
+        right = y > 0
+        weight = np.where(right, 0.5 / right.sum(axis=0), 0.5 / (~right).sum(axis=0))
+        return (weight * np.maximum(0, 1 - y * (x @ w + bias)) ** 2).sum(axis=0) + penalty / 2 * ((w**2).sum(axis=0) + bias**2)
+
+    best = loss(w.astype(float), bias.astype(float))
+    for _ in range(200):
+        assert (loss(w + rng.normal(scale=0.02, size=w.shape), bias + rng.normal(scale=0.02, size=2)) > best - 1e-6).all()
+    alone = [language_id.linear_svm(x, y[:, [k]], penalty, 4000) for k in (0, 1)]
+    assert np.abs(np.hstack([a for a, _ in alone]) - w).max() < 1e-4
+
+
+def test_many_languages_share_the_rows(spark):
+    rows = [(j * 100 + i, f"{chr(97 + j)}{chr(98 + j)} " * 30, f"x{j}") for j in range(10) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, total=50)
+    assert sorted(lang for family in model.families.values() for lang in family) == [f"x{j}" for j in range(10)]
+
+
 def test_language_on_held_out(spark, data, odd, none):
     big = data.replace("sf0.001", "sf0.01")
     got = catalog.op7_language_id(spark, big).join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
