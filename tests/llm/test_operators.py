@@ -177,6 +177,31 @@ def test_crf_marginals_equal_enumeration():
     assert pair == pytest.approx(total)
 
 
+def test_runs_of_lines_are_joined():
+    rng = np.random.default_rng(1)
+    owners = np.repeat(np.arange(6), [1, 40, 7, 8, 9, 100])
+    scores, moves = rng.normal(size=(len(owners), 2)), rng.normal(size=(2, 2))
+    first, count, _ = line_crf._grid(owners)
+    for plain, joined in zip(line_crf._plain(scores, moves, first, count), line_crf._in_runs(scores, moves, owners, 8), strict=True):
+        assert joined == pytest.approx(plain)
+
+
+def test_lines_may_differ_from_their_document():
+    x = np.array([[1.0, 1], [1, 1], [-9, 1], [-9, 1], [1, 1]])
+    model = line_crf.LineCrf(2)
+    model.weights = np.array([[0.0, 3.0], [0, 0]])
+    labels, owners = np.array([1, 1, 1, 1, 1]), np.array([0, 0, 0, 1, 1])
+    assert model.hidden(x, owners, np.array([50, 50, 20, 70, 20]), labels).tolist() == [1, 1, 0, 1, 1]
+
+
+def test_many_lines_are_scored_soon(spark):
+    import time
+
+    frame = spark.createDataFrame([(1, "a b\n" * 400_000)], "doc_id long, text string")
+    model, began = line_crf.LineCrf(3 * line_crf.OWN + 1), time.time()
+    assert line_crf.score(frame, model).first()["score"] == pytest.approx(0.5) and time.time() - began < 25
+
+
 def test_line_features_of_edges():
     texts = ["", "one line", "\n\n", "b !! c\nb !! c\n"]
     raw = [t.encode() for t in texts]
