@@ -182,7 +182,8 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, id_col:
     reps = materialize(reps, "representatives")
 
     hung = reps.select("rep", F.posexplode("bands").alias("band", "h"))
-    least = hung.groupBy("band", "h").agg(F.min("rep").alias("b"), F.count("*").alias("m")).where("m > 1")
+    # written, so that the join below shuffles both sides for itself and a bucket of very many can be split
+    least = materialize(hung.groupBy("band", "h").agg(F.min("rep").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m"), "buckets")
     candidates = hung.join(least, ["band", "h"]).select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
     groups = connected_components(candidates)
     grouped = groups.join(reps, groups["node"] == reps["rep"]).drop("node")
