@@ -45,7 +45,7 @@ def accuracy(df: DataFrame, target: str, metric: str, keys: tuple[str, ...] = ()
 def ndcg(relevant: DataFrame, predicted: DataFrame, k: int) -> DataFrame:
     """(q, ndcg) for (q, item, rel) and (q, item, rank)."""
     gain = lambda rel, rank: F.sum(F.when(rank <= k, rel / F.log2(rank + 1)).otherwise(0.0))
-    ideal = relevant.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rel"), "item"))).groupBy("q").agg(gain(F.col("rel"), F.col("rank")).alias("ideal"))
+    ideal = relevant.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rel"), "item"))).where(F.col("rank") <= k).groupBy("q").agg(gain(F.col("rel"), F.col("rank")).alias("ideal"))
     got = relevant.join(predicted, ["q", "item"]).groupBy("q").agg(gain(F.col("rel"), F.col("rank")).alias("got"))
     return ideal.join(got, "q", "left").select("q", F.when(F.col("ideal") == 0, 0.0).otherwise(F.coalesce("got", F.lit(0.0)) / F.col("ideal")).alias("ndcg"))
 

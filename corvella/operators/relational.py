@@ -73,17 +73,33 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     return df.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(pages))
 
 
-def balance(df: DataFrame, label: str, order: Sequence[Column]) -> DataFrame:
-    """Each class cut to the size of the smallest, in an explicit order."""
+def placed_by_hash(df: DataFrame, label: str, id_col: str) -> DataFrame:
+    """All columns, ``__place`` (from 1) of each row within its label in the order of its id's hash, and ``__n`` of the label.
+
+    Rows are counted in 2**16 ranges of the hash before any is ranked, so a label of a third of all rows is ranked in as
+    many tasks as there are ranges.
+    """
+    hashed = df.withColumn("__h", F.md5(F.col(id_col).cast("string"))).withColumn("__r", F.substring("__h", 1, 4))
+    sizes = hashed.groupBy(label, "__r").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(label).orderBy("__r")
+    before = sizes.select(F.col(label).alias("__l"), F.col("__r").alias("__s"), (F.sum("c").over(w) - F.col("c")).alias("__before"), F.sum("c").over(Window.partitionBy(label)).alias("__n"))
+    met = hashed.join(before, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__r") == F.col("__s")))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(label, "__r").orderBy("__h", id_col))
+    return met.select(*df.columns, place.alias("__place"), "__n")
+
+
+def balance(df: DataFrame, label: str, id_col: str) -> DataFrame:
+    """Each class cut to the size of the smallest, in the order of a hash of the id."""
     least = df.groupBy(label).count().agg(F.min("count").alias("__least"))
-    placed = df.withColumn("__n", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    return placed.crossJoin(F.broadcast(least)).where("__n <= __least").drop("__n", "__least")
+    return placed_by_hash(df, label, id_col).crossJoin(F.broadcast(least)).where("__place <= __least").select(*df.columns)
 
 
 def min_max(df: DataFrame, keys: Sequence[str], value: str, name: str, constant: float = 0.0) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(name, F.when(high == low, constant).otherwise((F.col(value) - low) / (high - low)))
+    """The bounds are aggregated and joined, so a key of very many rows is gathered nowhere."""
+    bounds = df.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    met = df.alias("d").join(bounds.alias("b"), [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    scaled = F.when(F.col("__high") == F.col("__low"), constant).otherwise((F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")))
+    return met.select("d.*", scaled.alias(name))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:

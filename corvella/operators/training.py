@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvella.functions import text as T
+from corvella.operators.relational import placed_by_hash
 
 
 def response_text(content: Column, summary: Column) -> Column:
@@ -61,20 +62,10 @@ def positive_weight(rows: DataFrame, positive: Column) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, label: str, id_col: str, test: float = 0.1, val: float = 0.15) -> DataFrame:
-    """All columns and ``fold``: an exact share of every label goes to test and val, by a hash of the id.
-
-    Rows are counted in ``2**16`` ranges of the hash before any is ranked, so that a label of a third of all rows is
-    ranked in as many tasks.
-    """
-    hashed = rows.withColumns({"__h": F.md5(F.col(id_col).cast("string"))}).withColumn("__r", F.substring("__h", 1, 4))
-    sizes = hashed.groupBy(label, "__r").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(label).orderBy("__r")
-    before = sizes.select(F.col(label).alias("__l"), F.col("__r").alias("__s"), (F.sum("c").over(w) - F.col("c")).alias("__before"), F.sum("c").over(Window.partitionBy(label)).alias("__n"))
-    placed = hashed.join(before, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__r") == F.col("__s")))
-    place = F.col("__before") + F.row_number().over(Window.partitionBy(label, "__r").orderBy("__h", id_col))
+    """All columns and ``fold``: an exact share of every label goes to test and val, by a hash of the id."""
     cut = lambda share: F.round(F.col("__n") * share)
-    fold = F.when(place <= cut(test), "test").when(place <= cut(test) + cut(val), "val").otherwise("train")
-    return placed.select(*rows.columns, fold.alias("fold"))
+    fold = F.when(F.col("__place") <= cut(test), "test").when(F.col("__place") <= cut(test) + cut(val), "val").otherwise("train")
+    return placed_by_hash(rows, label, id_col).select(*rows.columns, fold.alias("fold"))
 
 
 def cached_ranks(cache: DataFrame, items: DataFrame, top: int) -> DataFrame:

@@ -198,7 +198,7 @@ SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITIO
 WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality))""")
 def class_balance(labels):
     """Each class cut to the smallest one, in the order of a hash."""
-    return R.balance(labels.select("doc_id", "quality"), "quality", [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")])
+    return R.balance(labels.select("doc_id", "quality"), "quality", "doc_id")
 
 
 @query("lineitem", oracle="""

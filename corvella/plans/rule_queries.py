@@ -135,7 +135,7 @@ def proportional_sample(documents):
     total = counts.agg(F.sum("n").alias("total"))
     quota = counts.crossJoin(F.broadcast(total)).select("source", F.greatest(F.lit(1), F.floor(200 * F.col("n") / F.col("total"))).alias("quota"))
     k = F.row_number().over(Window.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    return documents.select("source", "doc_id", k.alias("k")).join(F.broadcast(quota), "source").where("k <= quota").select("source", "doc_id")
+    return documents.select("source", "doc_id", k.alias("k")).where("k <= 200").join(F.broadcast(quota), "source").where("k <= quota").select("source", "doc_id")
 
 
 @query("part", oracle="""

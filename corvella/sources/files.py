@@ -72,17 +72,57 @@ def replace_partitions(df: DataFrame, path: str, key: str) -> None:
     df.write.partitionBy(key).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
-def rule_sink(df: DataFrame, path: str, most: int = 500_000) -> None:
-    """CSV with nested columns as JSON, cut at a length, lists joined by semicolons, booleans as TRUE and FALSE."""
+def rule_sink(df: DataFrame, path: str, most: int | None = None) -> None:
+    """CSV with nested columns as JSON, lists joined by semicolons, booleans as TRUE and FALSE. Nothing is cut unless ``most``
+    says at how many characters nested columns are (the reference's spreadsheets take 500,000)."""
 
     def shown(field: T.StructField):
         c = F.col(field.name)
         if isinstance(field.dataType, T.ArrayType):
             return F.array_join(c.cast("array<string>"), "; ")
         if isinstance(field.dataType, (T.StructType, T.MapType)):
-            return F.left(F.to_json(c), F.lit(most))
+            return F.to_json(c) if most is None else F.left(F.to_json(c), F.lit(most))
         if isinstance(field.dataType, T.BooleanType):
             return F.upper(c.cast("string"))
         return c.cast("string")
 
     df.select(*(shown(f).alias(f.name) for f in df.schema.fields)).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_sqlite(spark: SparkSession, path: str, sql: str, schema: str, params: Sequence = (), parts: int = 1, key: str = "rowid") -> DataFrame:
+    """The rows of a query on a SQLite file, ``parts`` tasks each taking the rows whose integer ``key`` leaves its remainder.
+
+    The file must be readable at ``path`` on every executor. ``sql`` has ``?`` for each of ``params`` and, where there is
+    more than one part, selects ``key``.
+    """
+    import sqlite3
+
+    import pyarrow as pa
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    columns = T._parse_datatype_string(schema).names
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(k) for k in range(parts)]
+
+        def read(self, partition):
+            text = sql if parts == 1 else f"SELECT * FROM ({sql}) WHERE {key} % {parts} = {partition.value}"
+            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as connection:
+                cursor = connection.execute(text, list(params))
+                while rows := cursor.fetchmany(4096):
+                    yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=columns)
+
+    class Sqlite(DataSource):
+        @classmethod
+        def name(cls):
+            return "corvella_sqlite"
+
+        def schema(self):
+            return schema
+
+        def reader(self, schema):
+            return Reader()
+
+    spark.dataSource.register(Sqlite)
+    return spark.read.format("corvella_sqlite").load()

@@ -82,3 +82,18 @@ def test_stream_upsert_sink(spark, data, tmp_path):
         running.processAllAvailable()
         running.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_sqlite_scan(spark, tmp_path):
+    import sqlite3
+
+    from corvella.sources.files import read_sqlite
+
+    path = str(tmp_path / "d.sqlite")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE documents (doc_id INTEGER, source TEXT, text_path TEXT)")
+        c.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, "ab"[i % 2], f"p{i}" if i % 3 else None) for i in range(50)])
+    sql = "SELECT doc_id, source, text_path FROM documents WHERE text_path IS NOT NULL AND source = ? ORDER BY doc_id"
+    for parts in (1, 3):
+        got = read_sqlite(spark, path, sql, "doc_id long, source string, text_path string", ["b"], parts, "doc_id").orderBy("doc_id").collect()
+        assert [(r["doc_id"], r["source"], r["text_path"]) for r in got] == [(i, "b", f"p{i}") for i in range(50) if i % 3 and i % 2]
