@@ -17,7 +17,8 @@ from ._text import small_batches, tidied
 
 #: Python's str.split() breaks at these, the tokenizer's white space does not hold them.
 NOT_BREAKS = ("\x1c", "\x1d", "\x1e", "\x1f")
-CACHE = 800_000
+#: Runs, and parts of them, that are remembered; a table that is full starts anew.
+CACHE = 600_000
 #: Below this, no character composes with another, and lower case does not depend on the neighbours.
 PLAIN = "\u0250"
 #: Fixed value: the pattern by which the tokenizer splits what is left between white space.
@@ -33,6 +34,19 @@ def byte_letters() -> dict[int, str]:
     return {ord(low): "".join(letters[b] for b in low.encode()) for c in range(ord(PLAIN)) for low in chr(c).lower()}
 
 
+class _Runs(dict):
+    """Runs and their ids; what is not there is learned."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[run] = self.learn(run)
+        return found
+
+
 class Encoder:
     """Encodes texts as ``tokenizers`` does, one run without white space at a time, and remembers the runs.
 
@@ -46,41 +60,37 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.split, self.letters = regex.compile(SPLIT).findall, byte_letters()
+        self.known, self.parts = _Runs(self._learn), _Runs(self._spell)
+        self.split, self.letters, self.tokenize = regex.compile(SPLIT).findall, byte_letters(), self.whole.model.tokenize
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _part(self, part: str, spelled: str) -> bytes:
-        ids = [t.id for t in self.whole.model.tokenize(spelled)]
-        found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+    def _spell(self, part: str) -> bytes:
+        """A part in lower case; plain letters and signs of ASCII stand for themselves."""
+        ids = [t.id for t in self.tokenize(part if part.isascii() else part.translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, run: str) -> bytes:
-        if max(run) < PLAIN and "\u0130" not in run:
-            get, letters = self.parts.get, self.letters
-            got = b"".join([get(p) or self._part(p, p.translate(letters)) for p in self.split(run.lower())])
-        else:
-            normal = self.whole.normalizer.normalize_str(run)
-            ids = [t.id for part, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal) for t in self.whole.model.tokenize(part)]
-            got = struct.pack(f"<{len(ids)}I", *ids)
-        for held in (self.known, self.parts):
-            if len(held) >= CACHE:
-                held.clear()
-        self.known[run] = got
-        return got
+        if run.isascii() and run.isprintable():
+            low = run.lower()
+            if low.isalpha():
+                return self.parts[low]
+            word, sign = low[:-1], low[-1]
+            if word.isalpha() and not sign.isalnum():
+                return self.parts[word] + self.parts[sign]
+            return b"".join(map(self.parts.__getitem__, self.split(low)))
+        if max(run) < PLAIN and "\u0130" not in run and run.isprintable():
+            return b"".join(map(self.parts.__getitem__, self.split(run.lower())))
+        normal = self.whole.normalizer.normalize_str(run)
+        ids = [t.id for part, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal) for t in self.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if any(c in text for c in NOT_BREAKS) or any(s in text for s in self.special):
             return self._slow(text)
-        runs, get = text.split(), self.known.get
-        parts = [get(run) for run in runs]
-        if None in parts:
-            parts = [self._learn(run) if part is None else part for run, part in zip(runs, parts, strict=True)]
-        return b"".join(parts)
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 def binary_lengths(total: int, longest: int) -> list[int]:
