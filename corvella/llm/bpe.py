@@ -98,7 +98,7 @@ class DuckBpe:
         import duckdb
 
         self.ranks = read_ranks(path)
-        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
+        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
         left, right, made, calm = merge_table(self.ranks)
         self._table("merges", pa.table({"l": left, "r": right, "merged": made, "calm": calm}))
         self._table("vocab", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "spelled": pa.array([t.hex() for t in self.ranks])}))
@@ -150,6 +150,46 @@ class DuckBpe:
         return found
 
 
+class _Pool:
+    """Many short arrays in one that grows."""
+
+    def __init__(self, kind):
+        self.flat, self.used, self.starts, self.sizes = np.empty(1 << 16, dtype=kind), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def extend(self, rows: list[bytes]) -> None:
+        sizes = np.array([len(r) for r in rows], dtype=np.int64) // self.flat.itemsize
+        fresh = np.frombuffer(b"".join(rows), dtype=self.flat.dtype)
+        if self.used + len(fresh) > len(self.flat):
+            wider = np.empty(2 * (self.used + len(fresh)), dtype=self.flat.dtype)
+            wider[: self.used] = self.flat[: self.used]
+            self.flat = wider
+        self.flat[self.used : self.used + len(fresh)] = fresh
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(fresh)
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[rows]
+        return self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes)]
+
+
+class _Places(dict):
+    """Where a piece stands in the pools; a new one is listed and gets the next place, one that cannot be remembered -1."""
+
+    def __init__(self, coder: TextCoder, lead: str):
+        self.coder, self.lead = coder, lead
+        self[""] = -1
+
+    def __missing__(self, piece: str) -> int:
+        if not piece.isprintable() and any(c.isspace() for c in piece):
+            place = -1
+        else:
+            place = self.coder.known + len(self.coder.fresh)
+            self.coder.fresh.append(self.lead + piece)
+        self[piece] = place
+        return place
+
+
 class TextCoder:
     """Encodes and decodes whole texts; each distinct word goes through DuckDB once while the worker remembers it.
 
@@ -162,8 +202,11 @@ class TextCoder:
 
         self.duck, self.match = DuckBpe(path), regex.compile(pattern).findall
         self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.bare: dict[str, tuple[bytes, bytes] | None] = {"": None}
-        self.led: dict[str, tuple[bytes, bytes] | None] = {"": None}
+        self._start()
+
+    def _start(self) -> None:
+        self.ids, self.raw, self.known, self.fresh = _Pool("<i4"), _Pool(np.uint8), 0, ["\n"]
+        self.bare, self.led = _Places(self, ""), _Places(self, " ")
 
     def learn(self, words) -> None:
         new = [w for w in words if w not in self.words]
@@ -171,44 +214,69 @@ class TextCoder:
         ids = self.duck.encode(raw)
         self.words.update(zip(new, zip(ids, self.duck.decode(ids), strict=True), strict=True))
 
-    def _whole(self, text: str) -> tuple[bytes, bytes]:
-        parts = [self.words[w] for w in self.match(text)]
+    def _whole(self, words: list[str]) -> tuple[bytes, bytes]:
+        parts = [self.words[w] for w in words]
         return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
-    def _forget(self) -> None:
+    def _settle(self) -> None:
+        """Fill the pools with the pieces that were new."""
+        cut = list(map(self.match, self.fresh))
+        self.learn({w for words in cut for w in words})
+        got = list(map(self._whole, cut))
+        self.ids.extend([ids for ids, _ in got])
+        self.raw.extend([raw for _, raw in got])
+        self.known, self.fresh = self.known + len(got), []
+
+    def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts and how many each has, the decoded bytes of all and how many each has."""
         if len(self.words) > CACHE:
             self.words.clear()
-        for held in (self.bare, self.led):
-            if len(held) > CACHE:
-                held.clear()
-                held[""] = None
-
-    def code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids as 32-bit integers, decoded bytes) of each text."""
-        self._forget()
-        rows = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        fresh_bare = {line[0] for row in rows for line in row if line[0] not in self.bare}
-        fresh_led = {p for row in rows for line in row for p in line[1:] if p not in self.led}
-        cut = [(self.bare, p, self.match(p)) for p in fresh_bare] + [(self.led, p, self.match(" " + p)) for p in fresh_led]
-        plain = [(held, p, ws) for held, p, ws in cut if not any(c.isspace() for c in p)]
-        self.learn({w for _, _, ws in plain for w in ws} | {"\n"})
-        for held, p, _ in cut:
-            held[p] = None
-        for held, p, ws in plain:
-            held[p] = (b"".join([self.words[w][0] for w in ws]), b"".join([self.words[w][1] for w in ws]))
-        found: list[tuple[bytes, bytes] | None] = []
-        for row in rows:
-            parts = []
-            for line in row:
-                parts.append(self.words["\n"])
-                parts.append(self.bare[line[0]])
-                parts.extend([self.led[p] for p in line[1:]])
-            found.append(None if None in parts else (b"".join([p[0] for p in parts[1:]]), b"".join([p[1] for p in parts[1:]])))
-        if rest := [k for k, got in enumerate(found) if got is None]:
-            self.learn({w for k in rest for w in self.match(texts[k])})
-            for k in rest:
-                found[k] = self._whole(texts[k])
-        return found
+        if len(self.led) + len(self.bare) > 2 * CACHE:
+            self._start()
+        places: list[int] = []
+        ends = []
+        bare, led = self.bare, self.led.__getitem__
+        for text in texts:
+            lines = text.split("\n")
+            for line in lines:
+                pieces = line.split(" ")
+                places.append(bare[pieces[0]])
+                if len(pieces) > 1:
+                    places.extend(map(led, pieces[1:]))
+                places.append(0)  # the line break
+            places.pop()
+            ends.append(len(places))
+        self._settle()
+        at, ends_of = np.array(places, dtype=np.int64), np.array(ends, dtype=np.int64)
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends_of, prepend=0))
+        good = np.ones(len(texts), dtype=bool)
+        good[owner[at < 0]] = False
+        kept = good[owner]
+        at, owner = at[kept], owner[kept]
+        flat = [self.ids.take(at), self.raw.take(at)]
+        counts = [np.bincount(owner, pool.sizes[at], len(texts)).astype(np.int64) for pool in (self.ids, self.raw)]
+        if not good.all():
+            rest = np.flatnonzero(~good).tolist()
+            cut = [self.match(texts[k]) for k in rest]
+            self.learn({w for words in cut for w in words})
+            whole = dict(zip(rest, map(self._whole, cut), strict=True))
+            for side in (0, 1):
+                edge = np.concatenate(([0], np.cumsum(counts[side])))
+                kind = flat[side].dtype
+                parts = [np.frombuffer(whole[k][side], dtype=kind) if k in whole else flat[side][edge[k] : edge[k + 1]] for k in range(len(texts))]
+                flat[side], counts[side] = np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+        return flat[0], counts[0], flat[1], counts[1]
+
+
+#: The coder of a worker, kept for its next tasks.
+_CODERS: dict[tuple[str, str], TextCoder] = {}
+
+
+def coder_of(path: str, pattern: str) -> TextCoder:
+    if (path, pattern) not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path, pattern] = TextCoder(path, pattern)
+    return _CODERS[path, pattern]
 
 
 def encode_decode(docs: DataFrame, ranks: str, *, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,11 +287,13 @@ def encode_decode(docs: DataFrame, ranks: str, *, pattern: str = public_tokenize
     A partition keeps one DuckDB with the merge table. Words, the matches of ``pattern``, become rows of (word,
     position, token), and a recursive query contracts each word's leftmost lowest-ranked pair until none is left; an
     aggregate ordered by position spells the ids. No special tokens are made. Null and empty texts give no ids and no
-    bytes; other columns are ignored; an empty table gives no rows. There is no shuffle.
+    bytes; repeated rows and ids are coded each; other columns, clashing names (``ids``, ``decoded``) among them, are
+    ignored; a very long text is coded whole, in its worker's memory; an empty table gives no rows. There is no shuffle.
+    A worker keeps its words for its next tasks, ``CACHE`` at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TextCoder(ranks, pattern)
+        coder = coder_of(ranks, pattern)
         for batch in batches:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             first = 0
@@ -232,10 +302,10 @@ def encode_decode(docs: DataFrame, ranks: str, *, pattern: str = public_tokenize
                 while last < len(texts) and (last == first or size < 2 << 20):
                     size += len(texts[last])
                     last += 1
-                got = coder.code(texts[first:last])
-                ids = np.frombuffer(b"".join([g[0] for g in got]), dtype="<i4")
-                lists = list_array(ids, [len(g[0]) // 4 for g in got], pa.int32())
-                yield pa.record_batch([keys.slice(first, last - first), lists, pa.array([g[1] for g in got], pa.binary())], names=["id", "ids", "decoded"])
+                ids, n_ids, raw, n_raw = coder.code(texts[first:last])
+                edges = np.concatenate(([0], np.cumsum(n_raw))).astype(np.int64)
+                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(edges), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.record_batch([keys.slice(first, last - first), list_array(ids, n_ids, pa.int32()), decoded], names=["id", "ids", "decoded"])
                 first = last
 
     chosen = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
