@@ -220,4 +220,5 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, id_col:
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     found = of_set.join(classes, of_set["rep"] == classes["node"], "left").join(links, "rep", "left")
     found = found.select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    return member.join(found, ["h1", "h2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "n_grams")
+    # written, so that the copies of one set, however many, meet their class in a join that can be split
+    return member.join(materialize(found, "classes"), ["h1", "h2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "n_grams")
