@@ -126,3 +126,72 @@ def linear_fit(rows: DataFrame, x: tuple[str, ...], y: str, ridge: float = 0.0,
     penalty = np.diag([0.0, *[ridge] * len(x)])
     solved = np.linalg.lstsq(moments + penalty, right, rcond=None)[0]
     return rows.sparkSession.createDataFrame([(name, round(float(c), digits)) for name, c in zip(names, solved, strict=True)], "name string, coefficient double")
+
+
+def moments(rows: DataFrame, x: tuple[str, ...], y: str) -> tuple[int, dict[str, float], dict[tuple[str, str], float]]:
+    """Count, means and centred products of the columns, in one aggregation; rows with a null are left out."""
+    names = (*x, y)
+    products = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    row = rows.dropna(subset=list(names)).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in names), *(F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in products)).first()
+    centred = {}
+    for a, b in products:
+        centred[a, b] = centred[b, a] = (row[f"c_{a}_{b}"] or 0.0) * row["n"]
+    return row["n"], {c: row[f"m_{c}"] or 0.0 for c in names}, centred
+
+
+def budget_fit(rows: DataFrame, x: tuple[str, ...], y: str, keep: int, digits: int = 6) -> DataFrame:
+    """(name, coefficient): of a fit on standardized columns the ``keep`` greatest stay and are fitted anew, on a scale of
+    their own."""
+    import numpy as np
+
+    n, _, centred = moments(rows, x, y)
+
+    def fit(names: tuple[str, ...]) -> dict[str, float]:
+        scale = {c: (centred[c, c] / n) ** 0.5 or 1.0 for c in names}
+        left = np.array([[centred[a, b] / (scale[a] * scale[b]) for b in names] for a in names])
+        right = np.array([centred[a, y] / scale[a] for a in names])
+        return dict(zip(names, np.linalg.lstsq(left, right, rcond=None)[0].tolist(), strict=True))
+
+    first = fit(x)
+    chosen = tuple(sorted(sorted(x, key=lambda c: (-abs(first[c]), c))[:keep]))
+    return rows.sparkSession.createDataFrame([(c, round(v, digits)) for c, v in fit(chosen).items()], "name string, coefficient double")
+
+
+def partial_least_squares(rows: DataFrame, x: tuple[str, ...], y: str, components: int = 1, digits: int = 6) -> DataFrame:
+    """(name, coefficient) of partial least squares on centred columns, from their moments alone."""
+    import numpy as np
+
+    _, _, centred = moments(rows, x, y)
+    covariance = np.array([[centred[a, b] for b in x] for a in x])
+    target = np.array([centred[a, y] for a in x])
+    weights, loads, answers, left, right = [], [], [], covariance.copy(), target.copy()
+    for _ in range(min(components, len(x))):
+        if not np.linalg.norm(right):
+            break
+        w = right / np.linalg.norm(right)
+        size = w @ left @ w
+        load, answer = left @ w / size, right @ w / size
+        weights.append(w)
+        loads.append(load)
+        answers.append(answer)
+        left = left - size * np.outer(load, load)
+        right = right - size * answer * load
+    w, p = np.array(weights).T, np.array(loads).T
+    found = w @ np.linalg.solve(p.T @ w, np.array(answers)) if weights else np.zeros(len(x))
+    return rows.sparkSession.createDataFrame([(c, round(float(v), digits)) for c, v in zip(x, found, strict=True)], "name string, coefficient double")
+
+
+def forest(rows: DataFrame, x: tuple[str, ...], y: str, boosted: bool = False, seed: int = 42) -> DataFrame:
+    """All columns and ``prediction`` of the library's random forest or boosted trees."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    ready = VectorAssembler(inputCols=list(x), outputCol="__x", handleInvalid="skip").transform(rows.dropna(subset=[y]))
+    kind = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=10, seed=seed) if boosted else RandomForestRegressor(featuresCol="__x", labelCol=y, numTrees=20, seed=seed)
+    return kind.fit(ready).transform(ready).drop("__x")
+
+
+def best_metrics(rows: DataFrame, metrics: tuple[str, ...], target: str, keep: int) -> list[str]:
+    """The metrics of greatest correlation with the target."""
+    row = rows.agg(*(F.abs(F.corr(c, target)).alias(c) for c in metrics)).first()
+    return sorted(metrics, key=lambda c: (-round(row[c] or 0.0, 9), c))[:keep]
