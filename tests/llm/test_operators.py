@@ -614,3 +614,18 @@ def test_every_language_is_learned(spark):
     assert sorted(lang for family in model.families.values() for lang in family) == sorted(tags)
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
     assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.98
+
+
+def test_likeness_falls_with_edits():
+    """The more of a text is edited, in place or by moving it, the less like it is to itself."""
+    rng = np.random.default_rng(9)
+    text = "".join(rng.choice(list("abcdefghijklmnop "), 6000))
+    before, own = 1.01, order_minhash.signature(text)
+    for share in (0.0, 0.002, 0.01, 0.05, 0.2):
+        changed = list(text)
+        for at in rng.choice(len(text), int(share * len(text)), replace=False):
+            changed[at] = "XYZ"[int(rng.integers(3))]
+        like = order_minhash.likeness(own, order_minhash.signature("".join(changed)))
+        assert like < before
+        before = like
+    assert before < 0.2
