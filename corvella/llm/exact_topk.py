@@ -81,18 +81,26 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "ve
     asked = rows.where(queries)
     total = asked.count()
     blocks = max(1, -(-total // block))
-    answers = [_answer(rows, asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k, lists) for b in range(blocks)]
-    done = [a if blocks == 1 else materialize(a, "topk") for a in answers if a is not None]
+    done = []
+    for b in range(blocks):
+        answer, sent = _answer(rows, asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k, lists)
+        if answer is not None and blocks > 1:
+            answer = materialize(answer, "topk")
+            for broadcast in sent:  # one block's vectors at a time
+                broadcast.destroy()
+        if answer is not None:
+            done.append(answer)
     if not done:
         none = rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0).cast("long").alias("score")).where("false")
         return none.withColumnRenamed("id", id_col)
     return reduce(DataFrame.unionByName, done).withColumnRenamed("id", id_col)
 
 
-def _answer(rows: DataFrame, asked: DataFrame, k: int, lists: int) -> DataFrame | None:
+def _answer(rows: DataFrame, asked: DataFrame, k: int, lists: int) -> tuple[DataFrame | None, list]:
+    """The answers to a block of queries, not yet worked out, and what has been broadcast for them."""
     got = sorted(((r["id"], r["v"]) for r in asked.collect()))
     if not got:
-        return None
+        return None, []
     names, seen = [], []
     for key, vector in got:
         if not names or names[-1] != key:
@@ -161,4 +169,5 @@ def _answer(rows: DataFrame, asked: DataFrame, k: int, lists: int) -> DataFrame
         yield from emit(best)
 
     found = rows.mapInArrow(resolve, schema)
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    answer = found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    return answer, [shared, cutoff]
