@@ -44,8 +44,8 @@ def dense_top_k_within_key(embeddings):
     """Retrieval restricted to a key."""
     q = embeddings.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     c = embeddings.select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("cv"))
-    scored = q.join(c, "label").where("id <> query_id").select("label", "query_id", "id", F.round(T.cosine(F.col("qv"), F.col("cv")), 9).alias("score"))
-    return M.top_k(scored, 3).select("label", "query_id", "id", F.round("score", 6).alias("score"))
+    scored = M.within_key_top_k(q, c, "label", F.round(T.cosine(F.col("qv"), F.col("cv")), 9), 3)
+    return scored.select("label", "query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("embeddings", oracle="""
