@@ -10,6 +10,7 @@ from corvella.functions import metrics as X
 from corvella.functions import text as T
 from corvella.operators import clusters as K
 from corvella.operators import dedup as D
+from corvella.operators import overlap as V
 from corvella.operators import usage as U
 
 from .analysis_queries import _TWO, _USAGE, _two, _usage
@@ -247,3 +248,34 @@ def report_card(lineitem):
     row = lineitem.agg(*(f(c).alias(f"{k}_{c}") for c in names for k, f in (("pearson", lambda x: F.corr(x, "l_extendedprice")), ("mean", F.avg), ("std", F.stddev_samp))))
     card = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), *(F.round(f"{k}_{c}", 6).alias(k) for k in ("pearson", "mean", "std"))) for c in names))).alias("m")).select("m.*")
     return card.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs("pearson")), "metric")).cast("long"))
+
+
+def _overlap_sql() -> str:
+    token = r"regexp_extract_all(lower({}), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
+    unit = {"token": token, "word": r"list_filter(" + token + r", lambda t: regexp_full_match(t, '[\p{L}\p{N}]+'))", "char": r"list_filter(string_split(regexp_replace({}, '\s+', '', 'g'), ''), lambda c: c <> '')"}
+    sides = " UNION ALL ".join(f"SELECT item_id AS id, '{kind}' AS kind, {s} AS side, {unit[kind].replace('{}', c)} AS w FROM two" for kind in unit for s, c in ((0, "x"), (1, "y")))
+    longest = "CASE kind WHEN 'token' THEN 4 WHEN 'word' THEN 2 ELSE 6 END"
+    return f"""WITH two AS ({_TWO}), u AS ({sides}), o AS (SELECT *, unnest(range(1, {longest} + 1)) AS n FROM u),
+g AS (SELECT id, kind, side, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM o),
+c AS (SELECT id, kind, n, g, count(*) FILTER (side = 0) AS h, count(*) FILTER (side = 1) AS r FROM g GROUP BY 1, 2, 3, 4), s AS (SELECT id, kind, n, sum(least(h, r)) AS hit, sum(h) AS mine, sum(r) AS theirs FROM c GROUP BY 1, 2, 3),
+z AS (SELECT *, sum(CASE WHEN hit = 0 AND mine > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id, kind ORDER BY n) AS zeros FROM s),
+a AS (SELECT id, avg(ln(CASE WHEN hit > 0 THEN 100 * hit / mine ELSE 100 / (2.0 ** zeros * mine) END)) FILTER (kind = 'token' AND mine > 0) AS o, coalesce(max(mine) FILTER (kind = 'token' AND n = 1), 0) AS lh, coalesce(max(theirs) FILTER (kind = 'token' AND n = 1), 0) AS lr,
+sum(hit) FILTER (kind = 'token') AS hit, greatest(sum(mine) FILTER (kind = 'token'), sum(theirs) FILTER (kind = 'token')) AS more, coalesce(max(2 * hit / (mine + theirs)) FILTER (kind = 'word' AND n = 1), 0) AS rouge1, coalesce(max(2 * hit / (mine + theirs)) FILTER (kind = 'word' AND n = 2), 0) AS rouge2,
+avg(hit / mine) FILTER (kind = 'char' AND mine > 0 AND theirs > 0) AS p, avg(hit / theirs) FILTER (kind = 'char' AND mine > 0 AND theirs > 0) AS r FROM z GROUP BY 1)
+SELECT id, round(CASE WHEN lh > 0 AND lr > 0 THEN least(1.0, exp(1 - lr / lh)) * exp(o) ELSE 0 END, 6) AS bleu, round(CASE WHEN more > 0 THEN hit / more ELSE 0 END, 6) AS gleu, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2,
+round(CASE WHEN p + r > 0 THEN 500 * p * r / (4 * p + r) ELSE 0 END, 6) AS chrf FROM a"""
+
+
+@query("benchmark", oracle=_overlap_sql())
+def gram_overlap_metrics(benchmark):
+    """BLEU, GLEU, ROUGE-1 and -2 and chrF of neighbours from counts of shared n-grams."""
+    found = V.scores(V.gram_overlaps(_two(benchmark), "item_id", "x", "y"))
+    return found.select("id", *(F.round(c, 6).alias(c) for c in ("bleu", "gleu", "rouge1", "rouge2", "chrf")))
+
+
+@query("documents", oracle=r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\p{L}+') AS w, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[.!?]+'))) AS parts FROM documents)
+SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE 0.39 * len(w) / parts + 11.8 * list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouyáéíóúàèùâêîôûäöü]+'))))) / len(w) - 15.59 END, 6) AS grade FROM w""")
+def grade_level(documents):
+    """Grade level by built-in expressions."""
+    return documents.select("doc_id", F.round(V.grade(F.col("text")), 6).alias("grade"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corvella.functions import metrics as X
 from corvella.functions import rewrites as R
 from corvella.operators import clusters as K
+from corvella.operators import overlap as V
 from corvella.operators import training as G
 from corvella.operators import usage as U
 
@@ -84,3 +85,15 @@ def test_map_alpha_is_drawn_to_the_prior(spark):
     rows = [(1, 0.0, 5.0)] * 4 + [(2, 0.0, -5.0)] * 4 + [(3, 0.0, 1.0)]
     got = {r["id"]: r["alpha"] for r in U.map_alpha(spark.createDataFrame(rows, "id long, log_p double, log_q double"), 0.2, 20.0).collect()}
     assert set(got) == {1, 2} and 0.2 < got[1] < 0.9 and got[2] < 0.2
+
+
+def test_overlaps_equal_the_metrics(spark):
+    pairs = [(1, "the cat sat on the mat.", "the cat is on the mat"), (2, "a", "b"), (3, "", "x y"), (4, "one two, three!", "one two, three!"), (5, "w x y z q", "q z y x w"), (6, None, None)]
+    frame = spark.createDataFrame(pairs, "id long, x string, y string")
+    got = {r["id"]: r for r in V.scores(V.gram_overlaps(frame, "id", "x", "y")).collect()}
+    for key, x, y in pairs[:5]:
+        want = {"bleu": X.bleu(x, y), "gleu": X.gleu(x, y), "rouge1": X.rouge(x, y)[0], "rouge2": X.rouge(x, y)[1], "chrf": X.chrf(x, y)}
+        assert {k: got[key][k] for k in want} == pytest.approx(want), key
+    texts = ["The cat sat. It ran!", "", "naïve élan vital"]
+    levels = [r["g"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(V.grade(F.col("t")).alias("g")).collect()]
+    assert levels == pytest.approx([X.fkgl(t) for t in texts])
