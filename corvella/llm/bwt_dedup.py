@@ -85,6 +85,26 @@ class Strands:
         self.start, self.windows, self.key, self.owner = starts[kept], windows[kept], mix(self.key[kept] * ODD), owner[kept]
         self.lead = (place - starts)[kept]  # bytes before the k-mer
 
+    def split(self, hot: np.ndarray) -> None:
+        """Divide the strands of ``hot`` k-mers (sorted): windows whose k-mer is ``NEAR`` * j to ``NEAR`` * j + ``NEAR`` - 1
+        bytes from their start all hold the ``length`` - ``NEAR`` + 1 bytes that begin ``NEAR`` * j before it, and get the
+        hash of these and j as their key. Equal windows have equal keys still."""
+        chosen = np.isin(self.key, hot)
+        if not chosen.any():
+            return
+        start, windows, owner, lead = self.start[chosen], self.windows[chosen], self.owner[chosen], self.lead[chosen]
+        parts = [(self.start[~chosen], self.windows[~chosen], self.key[~chosen], self.owner[~chosen], self.lead[~chosen])]
+        for j in range(int(lead.max()) // NEAR + 1):
+            high, low = np.minimum(lead, NEAR * j + NEAR - 1), np.maximum(lead - windows + 1, NEAR * j)
+            some = np.flatnonzero(high >= low)
+            at, key = (start + lead)[some] - NEAR * j, np.full(len(some), j + 1, dtype=np.uint64)
+            for i in range(self.length - NEAR + 1):
+                key = key * FACTOR + _TABLE[self.flat[at + i]]
+            parts.append(((start + lead - high)[some], (high - low + 1)[some], mix(key * ODD), owner[some], high[some]))
+        whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.argsort(whole[0], kind="stable")
+        self.start, self.windows, self.key, self.owner, self.lead = (x[order] for x in whole)
+
     @staticmethod
     def _stretches(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
         """Ranges of window starts; a long text is hashed in overlapping stretches."""
@@ -142,15 +162,13 @@ def transforms(flat: np.ndarray, start: np.ndarray, size: np.ndarray, shard: np.
     order of the suffixes. A symbol is a byte and one more; 0 ends a string, and ends sort as their strings do.
 
     ``shard`` numbers the shard of each string, in order, below 256. Suffixes are sorted by seven symbols, then by prefix
-    doubling among those still alike. UTF-8 has neither 0xFE nor 0xFF; they count as one symbol. At most 2**21 symbols.
+    doubling among those still alike. UTF-8 has neither 0xFE nor 0xFF; they count as one symbol.
     """
     total = size + 1
     begin = np.cumsum(total) - total
     text = np.zeros(int(total.sum()), dtype=np.uint8)
     text[_ragged(begin, size)] = np.minimum(flat[_ragged(start, size)], 254) + np.uint8(1)
     bits = len(text).bit_length()
-    if 3 * bits > 64:
-        raise ValueError("too many symbols in one shard")
     key = text.astype(np.uint64)
     for width in (1, 2, 4):
         beyond = np.zeros_like(key)
@@ -172,11 +190,14 @@ def transforms(flat: np.ndarray, start: np.ndarray, size: np.ndarray, shard: np.
         ended = further > last[at]
         further[ended] = 0
         second = np.where(ended, string[at], rank[further])  # where a string has ended, all that are alike have
-        # a rank, what follows and the place itself in one key: sorting needs no second array
-        key = ((rank[at] << (2 * bits)) | (second << bits) | at).view(np.uint64)
-        key.sort()
-        at = (key & here).astype(np.int64)
-        key >>= np.uint64(bits)
+        if 3 * bits <= 64:  # a rank, what follows and the place itself in one key: sorting needs no second array
+            key = ((rank[at] << (2 * bits)) | (second << bits) | at).view(np.uint64)
+            key.sort()
+            at = (key & here).astype(np.int64)
+            key >>= np.uint64(bits)
+        else:
+            by = np.lexsort((second, rank[at]))
+            at, key = at[by], (rank[at] << 32 | second)[by]
         fresh = np.concatenate(([True], key[1:] != key[:-1], [True]))
         order[alike] = at
         rank[at] = np.maximum.accumulate(np.where(fresh[:-1], alike, 0))
@@ -191,7 +212,8 @@ class Merged:
     The merge starts with the shards' rows one shard after the other; a refinement deals the rows out by the symbols before
     them, in order, which sorts them by so many more symbols. No suffix is sorted or compared again. Only rows from which
     ``depth`` steps lead to the start of a window are dealt. Rows that stay in one block share a prefix as long as the
-    refinements done, so the blocks after ``depth`` symbols are the intervals of strings with a common prefix of that length. Every string takes part, with the value that stands for its copies;
+    refinements done, so the blocks after ``depth`` symbols are the intervals of strings with a common prefix of that length;
+    ``common`` derives the prefixes themselves. Every string takes part, with the value that stands for its copies;
     nothing is decided but by the merged transform.
     """
 
@@ -256,7 +278,21 @@ class Merged:
             change[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
             block = np.cumsum(change, dtype=np.int32)
             done += taken
-        self.rows, self.starts = rows, np.flatnonzero(change)
+        self.rows, self.starts, self.bwt, self.back, self.depth = rows, np.flatnonzero(change), bwt, back, depth
+
+    def common(self) -> np.ndarray:
+        """Of each window in order, how many symbols it shares with the one above, ``depth`` at most. Windows are read on from
+        their rows: a suffix begins with the symbol before the suffix that is one shorter."""
+        onward = np.empty_like(self.back)
+        onward[self.back] = np.arange(len(self.back))
+        at, shared = self.rows, np.zeros(len(self.rows), dtype=np.int64)
+        alike = np.arange(1, len(at))
+        for _ in range(self.depth):
+            at = onward[at]
+            symbol = self.bwt[at]
+            alike = alike[symbol[alike] == symbol[alike - 1]]
+            shared[alike] += 1
+        return shared
 
     def least(self, value: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """For the ``windows`` places of each string where ``depth`` symbols begin, one after the other, the least ``value`` of
@@ -317,6 +353,11 @@ class KeyFilter:
 PIECE = 16 << 20
 #: Bytes of strands of all shards that are merged at a time; it bounds a worker's memory.
 BUCKET = 1 << 18
+#: A k-mer of so many strands in a piece is counted; those of ``HOT`` strands in all, the ``HOTTEST`` most frequent at most,
+#: are told apart by longer strings, so that one phrase in many surroundings is not one bucket.
+HEAVY, HOT, HOTTEST = 64, 4096, 4096
+#: Windows of a hot k-mer that share a longer string: their k-mer stands within so many bytes of one place.
+NEAR = 8
 #: Ranges of k-mers for each shuffle partition in the search for shared ones.
 RANGES = 4
 DEALT_SCHEMA = "bucket int, piece long, first long, transform binary, sizes binary, least binary, string binary, docs binary, starts binary, marks binary"
@@ -370,7 +411,8 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     empty texts and null ids have none, an empty table gives no rows, and other columns are not read. ``docs`` that do not
     come straight from files are written to the shared folder first, so that a task that runs again cuts the same pieces.
 
-    1. The k-mers of each piece of text meet by ranges of their hashes; those of two documents go into a filter.
+    1. The k-mers of each piece of text meet by ranges of their hashes; those of two documents go into a filter, and those
+       of very many strands into a list, by which these are divided further.
     2. A piece's strands that pass it, each distinct one once, are dealt into buckets by k-mer, and the piece's task builds
        the transform of each bucket's strings. Transforms travel, not texts; where the strings stand in the piece
        travels apart, by piece, so copies make a bucket no larger than one string a piece.
@@ -394,16 +436,19 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 head = np.flatnonzero(_heads(keys)) if len(keys) else np.empty(0, np.int64)
                 tail = np.append(head[1:], len(keys)) - 1
                 several = owner[head] != owner[tail]
-                keys = keys[head]
+                keys, times = keys[head], tail - head + 1
                 bounds = _buckets(keys, parts)
+                heavy = [bounds[p] + np.flatnonzero(times[bounds[p] : bounds[p + 1]] >= HEAVY) for p in range(parts)]
                 full = [p for p in range(parts) if bounds[p + 1] > bounds[p]]
                 yield pa.record_batch(
                     [
                         pa.array(full, pa.int32()),
                         pa.array([sieve.short(keys[bounds[p] : bounds[p + 1]]) for p in full], pa.binary()),
                         pa.array([sieve.short(keys[bounds[p] : bounds[p + 1]][several[bounds[p] : bounds[p + 1]]]) for p in full], pa.binary()),
+                        pa.array([keys[heavy[p]].tobytes() for p in full], pa.binary()),
+                        pa.array([times[heavy[p]].astype(np.int64).tobytes() for p in full], pa.binary()),
                     ],
-                    names=["bucket", "keys", "several"],
+                    names=["bucket", "keys", "several", "heavy", "times"],
                 )
 
     def shared_keys(group: pd.DataFrame) -> pd.DataFrame:
@@ -411,15 +456,24 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         again = keys[1:] == keys[:-1]
         several = sieve.long(b"".join(group["several"]))
         entries = len(several) + int((np.append(again, False) | np.concatenate(([False], again))).sum())
-        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [sieve.fill(np.concatenate([keys[1:][again], several]))], "shared": [entries], "all": [len(keys)]})
+        heavy, which = np.unique(np.frombuffer(b"".join(group["heavy"]), dtype=np.uint64), return_inverse=True)
+        times = np.bincount(which, np.frombuffer(b"".join(group["times"]), dtype=np.int64), len(heavy)).astype(np.int64)
+        most = np.argsort(-times, kind="stable")[:HOTTEST]
+        most = most[times[most] >= HOT]
+        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [sieve.fill(np.concatenate([keys[1:][again], several]))], "shared": [entries], "all": [len(keys)], "hot": [heavy[most].tobytes()], "times": [times[most].tobytes()]})
 
-    lists = rows.mapInArrow(key_lists, "bucket int, keys binary, several binary")
+    lists = rows.mapInArrow(key_lists, "bucket int, keys binary, several binary, heavy binary, times binary")
     width = sieve.segment // 8
     segments, shared, every = np.zeros(parts * width, dtype=np.uint8), 0, 0
-    for row in lists.groupBy("bucket").applyInPandas(shared_keys, "bucket int, bits binary, shared long, all long").toLocalIterator():
+    hot, times = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for row in lists.groupBy("bucket").applyInPandas(shared_keys, "bucket int, bits binary, shared long, all long, hot binary, times binary").toLocalIterator():
         segments[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
         shared, every = shared + row["shared"], every + row["all"]
-    known = spark.sparkContext.broadcast(segments)
+        if row["hot"]:
+            hot, times = np.append(hot, np.frombuffer(row["hot"], np.uint64)), np.append(times, np.frombuffer(row["times"], np.int64))
+            most = np.argsort(-times, kind="stable")[:HOTTEST]
+            hot, times = hot[most], times[most]
+    known, hot_keys = spark.sparkContext.broadcast(segments), spark.sparkContext.broadcast(np.sort(hot))
     filled = float(np.bitwise_count(segments).sum()) / (8 * len(segments))
     strings = min(shared, every) + (every - min(shared, every)) * filled**2
     buckets = max(1, min(shuffle_partitions(spark), int(strings) // 64), int(strings * 1.3 * (length + 15)) // BUCKET)
@@ -438,7 +492,10 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 flat, offsets = all_flat[all_offsets[a] : all_offsets[b]], all_offsets[a : b + 1] - all_offsets[a]
                 found = Strands(flat, offsets, length, k)
                 kept = sieve.holds(known.value, np.searchsorted(cuts, found.key, side="right"), found.key)
-                key, start, owner, size = found.key[kept], found.start[kept], found.owner[kept], found.windows[kept] + (length - 1)
+                for name in ("start", "windows", "key", "owner", "lead"):
+                    setattr(found, name, getattr(found, name)[kept])
+                found.split(hot_keys.value)
+                key, start, owner, size = found.key, found.start, found.owner, found.windows + (length - 1)
                 del found, kept
                 if not len(key):
                     continue

@@ -484,6 +484,63 @@ def test_repeats_on_a_table(spark, data):
     assert got == {k: (n, gone, spans, sha(kept)) for k, (n, gone, spans, kept) in brute_repeats(documents(spark, big)).items()}
 
 
+def test_common_prefixes_of_merged_windows():
+    rng = np.random.default_rng(12)
+    strings = [bytes(rng.choice(list(b"aab"), int(rng.integers(6, 30))).astype(np.uint8)) for _ in range(40)]
+    merged = bwt_dedup.Merged(strings, 6, 60)
+    windows = [strings[merged.owner[r]][merged.place[r] :][:6] for r in merged.rows]
+    assert windows == sorted(windows) and len(windows) == sum(len(s) - 5 for s in strings)
+    shared = [next((k for k in range(6) if a[k] != b[k]), 6) for a, b in zip(windows, windows[1:], strict=False)]
+    assert merged.common().tolist() == [0, *shared]
+    assert merged.starts.tolist() == [0, *(i + 1 for i, c in enumerate(shared) if c < 6)]
+
+
+def test_hot_phrases_are_divided(spark, monkeypatch):
+    """One phrase in hundreds of surroundings, some of them shared: the same result by way of longer strings."""
+    monkeypatch.setattr(bwt_dedup, "HEAVY", 2)
+    monkeypatch.setattr(bwt_dedup, "HOT", 20)
+    rng = np.random.default_rng(11)
+    letters = list("abcdefgh ")
+    word = lambda n: "".join(rng.choice(letters, n))
+    phrase, around = "all rights are reserved to us", [(word(30), word(30)) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        parts = [word(int(rng.integers(3, 40))) + phrase + word(int(rng.integers(3, 40))) for _ in range(3)]
+        left, right = around[int(rng.integers(12))]
+        parts.append(left[int(rng.integers(20)) :] + phrase + right[: int(rng.integers(10, 30))])
+        rows.append((i, "|".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = bwt_dedup.drop_repeats(docs).collect()
+    want = brute_repeats(rows)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in got} == want
+    assert sum(v[1] for v in want.values()) > 1000
+
+
+def test_divided_strands_hold_the_same_windows():
+    rng = np.random.default_rng(13)
+    raw = [bytes(rng.choice(list(b"abc "), 400).astype(np.uint8)) for _ in range(5)]
+    flat, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole, cut = bwt_dedup.Strands(flat, offsets), bwt_dedup.Strands(flat, offsets)
+    cut.split(np.unique(cut.key)[::2])
+    spread = lambda s: sorted((int(a) + i, int(o)) for a, w, o in zip(s.start, s.windows, s.owner, strict=True) for i in range(w))
+    assert spread(whole) == spread(cut) and len(cut.start) > len(whole.start) and (cut.windows >= 1).all()
+
+
+def test_long_shards_are_sorted_alike():
+    """More symbols than fit thrice into one key."""
+    rng = np.random.default_rng(14)
+    pool = ["".join(rng.choice(list("abcd"), 25)).encode() for _ in range(3000)]
+    strings = [pool[i] + pool[j] for i, j in rng.integers(0, 3000, (42_000, 2))]
+    value = rng.integers(0, 10**6, len(strings))
+    merged = bwt_dedup.Merged(strings, 40, 1 << 30)
+    assert 3 * len(merged.bwt).bit_length() > 64
+    least = {}
+    for s, v in zip(strings, value.tolist(), strict=True):
+        for i in range(11):
+            least[s[i : i + 40]] = min(least.get(s[i : i + 40], 10**9), v)
+    assert merged.least(value, np.full(len(strings), 11)).tolist() == [least[s[i : i + 40]] for s in strings for i in range(11)]
+
+
 def test_transforms_are_inverted_by_walking():
     rng = np.random.default_rng(8)
     strings = [bytes(rng.choice(list(b"abca "), int(rng.integers(3, 40))).astype(np.uint8)) for _ in range(50)]
