@@ -69,9 +69,10 @@ def stratified_split(rows: DataFrame, label: str, id_col: str, test: float = 0.1
 
 
 def cached_ranks(cache: DataFrame, items: DataFrame, top: int) -> DataFrame:
-    """(query, rank, item): cached ranks of the items that still exist, numbered anew without gaps."""
+    """(query, rank, item): cached ranks of the items that still exist, numbered anew without gaps. Of equal ranks the smaller
+    item goes first; items without a rank go last."""
     known = cache.join(items, "item", "left_semi")
-    return known.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("k") <= top).select("query", F.col("k").alias("rank"), "item")
+    return known.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(F.asc_nulls_last("rank"), "item"))).where(F.col("k") <= top).select("query", F.col("k").alias("rank"), "item")
 
 
 def contrast_pairs(centroids: DataFrame, top: int = 8) -> DataFrame:

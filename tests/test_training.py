@@ -2,8 +2,10 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
+from compare import same
 from pyspark.sql import functions as F
 
 from corvella.functions import metrics as X
@@ -12,6 +14,7 @@ from corvella.operators import clusters as K
 from corvella.operators import overlap as V
 from corvella.operators import training as G
 from corvella.operators import usage as U
+from corvella.plans import catalog
 
 
 def test_metrics_by_hand():
@@ -52,6 +55,25 @@ def test_stratified_split_is_exact(spark):
     assert {(r["label"], r["fold"]): r["count"] for r in got} == {("a", "test"): 10, ("a", "val"): 15, ("a", "train"): 75, (None, "test"): 10, (None, "val"): 15, (None, "train"): 75, ("b", "test"): 80, ("b", "val"): 120, ("b", "train"): 600}
 
 
+def test_cached_ranks_have_one_order(spark):
+    rows = [("q", 7, 9), ("q", 7, 3), ("q", 7, 6), ("q", 2, 4), ("q", 1, 5), ("r", 8, 6), ("r", 8, 2)]
+    items = spark.createDataFrame([(i,) for i in (2, 3, 4, 6, 9)], "item long")
+    for given in (rows, rows[::-1]):
+        cache = spark.createDataFrame(given, "query string, rank long, item long").coalesce(1)
+        got = sorted(tuple(r) for r in G.cached_ranks(cache, F.broadcast(items), 3).collect())
+        assert got == [("q", 1, 4), ("q", 2, 3), ("q", 3, 6), ("r", 1, 2), ("r", 2, 6)]
+
+
+def test_paper_cache_without_a_rank_is_its_sql(spark, tmp_path):
+    lines = [(1, None, 10), (1, 3, 11), (1, 2, 12), (1, 5, 13), (2, None, 10), (2, 1, 14), (None, 4, 11), (None, None, 12), (3, 1, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(10, 50), (11, 20), (12, 11), (13, 30), (14, 10), (None, 40)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    connection = duckdb.connect()
+    for table in ("lineitem", "part"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    same(catalog.QUERIES["paper_cache"](spark, str(tmp_path)), connection.execute(catalog.ORACLE_SQL["paper_cache"]))
+
+
 def test_hard_negatives_fall_back_to_nearest_lengths(spark):
     rows = [("g", 1, "yes", 100, 0.0), ("g", 2, "no", 10, 0.9), ("g", 3, "no", 12, 0.5), ("g", 4, "no", 400, 0.7), ("h", 5, "yes", 10, 0.0), ("h", 6, "no", 11, 0.2)]
     frame = spark.createDataFrame(rows, "g string, id long, label string, n long, s double")
