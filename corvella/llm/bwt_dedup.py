@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.session import shuffle_partitions, stable
+from corvella.session import materialize, shuffle_partitions, stable
 
 from ._text import ODD, mix, pieces, small_batches, tidied, utf8
 
 LENGTH, KMER = 50, 20
-#: Bits of the filter of shared k-mers that is broadcast; it lets k-mers of one document through as it fills, never the
-#: reverse, so its size bounds memory and not results.
-FILTER_BITS = 1 << 27
+#: Bits of the filter of shared k-mers that is broadcast: ``KEY_BITS`` a k-mer, but so many at least and at most. It lets
+#: k-mers of one document through as it fills, never the reverse, so its size bounds memory and not results.
+KEY_BITS, LEAST_BITS, FILTER_BITS = 8, 1 << 27, 1 << 29
 #: Bytes of text hashed at a time: places in it fit the low bits of a key.
 STRETCH_BITS = 21
 FACTOR = np.uint64(0xF1357AEA2E62A9C5)
@@ -161,8 +161,8 @@ def transforms(flat: np.ndarray, start: np.ndarray, size: np.ndarray, shard: np.
     """The Burrows-Wheeler transforms of shards of strings, one after the other: the symbol before each suffix of a shard, in
     order of the suffixes. A symbol is a byte and one more; 0 ends a string, and ends sort as their strings do.
 
-    ``shard`` numbers the shard of each string, in order, below 256. Suffixes are sorted by seven symbols, then by prefix
-    doubling among those still alike. UTF-8 has neither 0xFE nor 0xFF; they count as one symbol.
+    ``shard`` numbers the shard of each string, in order, below 65,536. Suffixes are sorted by seven symbols (six from 256
+    shards on), then by prefix doubling among those still alike. UTF-8 has neither 0xFE nor 0xFF; they count as one symbol.
     """
     total = size + 1
     begin = np.cumsum(total) - total
@@ -175,7 +175,8 @@ def transforms(flat: np.ndarray, start: np.ndarray, size: np.ndarray, shard: np.
         beyond[:-width] = key[width:]
         beyond[key & np.uint64(255) == 0] = 0
         key = (key << np.uint64(8 * width)) | beyond
-    key = (key >> np.uint64(8)) | (np.repeat(shard.astype(np.uint64), total) << np.uint64(56))
+    seen = 7 if int(shard[-1]) < 256 else 6
+    key = (key >> np.uint64(64 - 8 * seen)) | (np.repeat(shard.astype(np.uint64), total) << np.uint64(8 * seen))
     order = np.argsort(key)
     key = key[order]
     fresh = np.concatenate(([True], key[1:] != key[:-1], [True]))
@@ -183,7 +184,7 @@ def transforms(flat: np.ndarray, start: np.ndarray, size: np.ndarray, shard: np.
     rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(len(text)), 0))
     alike = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
     string, last = np.repeat(np.arange(len(size)), total), np.repeat(begin + size, total)
-    seen, here = 7, np.uint64((1 << bits) - 1)
+    here = np.uint64((1 << bits) - 1)
     while len(alike):
         at = order[alike]
         further = at + seen
@@ -316,10 +317,12 @@ def _buckets(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 class KeyFilter:
-    """A Bloom filter in one segment for each range of keys, over the upper 40 bits of the keys."""
+    """A Bloom filter over the upper 40 bits of keys, in one segment for each range of keys, as long as its keys need."""
 
-    def __init__(self, parts: int, bits: int = FILTER_BITS):
-        self.parts, self.segment = parts, max(64, bits // parts // 8 * 8)
+    def __init__(self, segments: list[bytes]):
+        self.size = np.array([8 * len(x) for x in segments], dtype=np.uint64)
+        self.first = np.cumsum(self.size >> np.uint64(3)).astype(np.int64) - np.array([len(x) for x in segments])
+        self.bits = np.frombuffer(b"".join(segments), dtype=np.uint8)
 
     @staticmethod
     def short(keys: np.ndarray) -> bytes:
@@ -331,21 +334,24 @@ class KeyFilter:
         wide[:, 3:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
         return wide.view(np.uint64).ravel()
 
-    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def places(keys: np.ndarray, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
         mixed = mix(keys >> np.uint64(24))
-        return mixed % np.uint64(self.segment), (mixed >> np.uint64(33)) % np.uint64(self.segment)
+        return mixed % size, (mixed >> np.uint64(33)) % size
 
-    def fill(self, keys: np.ndarray) -> bytes:
-        bits = np.zeros(self.segment, dtype=np.uint8)
-        for place in self.places(keys):
+    @staticmethod
+    def segment(keys: np.ndarray, parts: int) -> bytes:
+        """The segment of distinct ``keys``, where all keys have ``parts`` ranges."""
+        bits = np.zeros(max(64, min(max(LEAST_BITS // parts, KEY_BITS * len(keys)), FILTER_BITS // parts) // 8 * 8), dtype=np.uint8)
+        for place in KeyFilter.places(keys, np.uint64(len(bits))):
             bits[place] = 1
         return np.packbits(bits, bitorder="little").tobytes()
 
-    def holds(self, segments: np.ndarray, part: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def holds(self, part: np.ndarray, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), dtype=bool)
-        for place in self.places(keys):
-            at = part * (self.segment // 8) + (place >> np.uint64(3)).astype(np.int64)
-            found &= (segments[at] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        for place in self.places(keys, self.size[part]):
+            at = self.first[part] + (place >> np.uint64(3)).astype(np.int64)
+            found &= (self.bits[at] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return found
 
 
@@ -353,6 +359,9 @@ class KeyFilter:
 PIECE = 16 << 20
 #: Bytes of strands of all shards that are merged at a time; it bounds a worker's memory.
 BUCKET = 1 << 18
+#: Neighbouring buckets travel together, ``TOGETHER`` at most, until a piece sends about so many bytes of strands at a time:
+#: in a large corpus a piece has but a few strings for a bucket.
+SENT, TOGETHER = 1 << 14, 64
 #: A k-mer of so many strands in a piece is counted; those of ``HOT`` strands in all, the ``HOTTEST`` most frequent at most,
 #: are told apart by longer strings, so that one phrase in many surroundings is not one bucket.
 HEAVY, HOT, HOTTEST = 64, 4096, 4096
@@ -360,7 +369,7 @@ HEAVY, HOT, HOTTEST = 64, 4096, 4096
 NEAR = 8
 #: Ranges of k-mers for each shuffle partition in the search for shared ones.
 RANGES = 4
-DEALT_SCHEMA = "bucket int, piece long, first long, transform binary, sizes binary, least binary, string binary, docs binary, starts binary, marks binary"
+DEALT_SCHEMA = "bucket int, piece long, first long, transform binary, sizes binary, least binary, counts binary, string binary, docs binary, starts binary, marks binary"
 ANSWER_SCHEMA = "piece long, listed boolean, string binary, low binary, first binary, last binary, docs binary, starts binary, marks binary"
 
 
@@ -381,18 +390,23 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _groups(bucket: np.ndarray, size: np.ndarray, limit: int = BUCKET) -> Iterator[tuple[int, int]]:
-    """Ranges of strings, sorted by bucket, of whole buckets: about ``limit`` bytes and fewer than 256 buckets each."""
-    edges = np.append(np.flatnonzero(_heads(bucket)), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
+def _groups(group: np.ndarray, size: np.ndarray, most: int, limit: int = BUCKET) -> Iterator[tuple[int, int]]:
+    """Ranges of strings, sorted by group, of whole groups: about ``limit`` bytes and ``most`` groups each."""
+    edges = np.append(np.flatnonzero(_heads(group)), len(group)) if len(group) else np.zeros(1, np.int64)
     weight = np.concatenate(([0], np.cumsum(size + 1)))[edges]
     first = 0
     while first < len(edges) - 1:
         last = max(first + 1, int(np.searchsorted(weight, weight[first] + limit, side="right")) - 1)
-        last = min(last, first + 255, len(edges) - 1)
+        last = min(last, first + most, len(edges) - 1)
         yield int(edges[first]), int(edges[last])
         first = last
 
 
+def _together(pieces: int, buckets: int, partitions: int) -> int:
+    """How many buckets travel in one row: each shuffle partition has four rows of a piece at least."""
+    return max(1, min(TOGETHER, pieces * SENT // BUCKET, buckets // (4 * partitions)))
+
+
 def _runs_below(lows: np.ndarray, least: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows of one string with one ``lows`` below the string's own: string, low, first and last window."""
     string = np.repeat(np.arange(len(windows)), windows)
@@ -414,14 +428,13 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     1. The k-mers of each piece of text meet by ranges of their hashes; those of two documents go into a filter, and those
        of very many strands into a list, by which these are divided further.
     2. A piece's strands that pass it, each distinct one once, are dealt into buckets by k-mer, and the piece's task builds
-       the transform of each bucket's strings. Transforms travel, not texts; where the strings stand in the piece
-       travels apart, by piece, so copies make a bucket no larger than one string a piece.
-    3. A bucket's transforms are merged; the blocks at ``length`` give each window's least document.
+       the transform of each bucket's strings. Transforms travel, not texts, those of neighbouring buckets in one row; where
+       the strings stand in the piece travels apart, by piece, so copies make a bucket no larger than one string a piece.
+    3. A bucket's transforms are merged, one bucket after the other; the blocks at ``length`` give each window's least document.
     4. Answers return by piece, where they meet the places and become spans.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark) * RANGES
-    sieve = KeyFilter(parts)
     docs = stable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "texts")
     rows = small_batches(docs, PIECE >> 20).select("id", F.xxhash64("text").alias("mark"), "text").where(f"id is not null and octet_length(text) >= {length}")
 
@@ -443,8 +456,8 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 yield pa.record_batch(
                     [
                         pa.array(full, pa.int32()),
-                        pa.array([sieve.short(keys[bounds[p] : bounds[p + 1]]) for p in full], pa.binary()),
-                        pa.array([sieve.short(keys[bounds[p] : bounds[p + 1]][several[bounds[p] : bounds[p + 1]]]) for p in full], pa.binary()),
+                        pa.array([KeyFilter.short(keys[bounds[p] : bounds[p + 1]]) for p in full], pa.binary()),
+                        pa.array([KeyFilter.short(keys[bounds[p] : bounds[p + 1]][several[bounds[p] : bounds[p + 1]]]) for p in full], pa.binary()),
                         pa.array([keys[heavy[p]].tobytes() for p in full], pa.binary()),
                         pa.array([times[heavy[p]].astype(np.int64).tobytes() for p in full], pa.binary()),
                     ],
@@ -452,36 +465,38 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 )
 
     def shared_keys(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.sort(sieve.long(b"".join(group["keys"])))
+        keys = np.sort(KeyFilter.long(b"".join(group["keys"])))
         again = keys[1:] == keys[:-1]
-        several = sieve.long(b"".join(group["several"]))
+        several = KeyFilter.long(b"".join(group["several"]))
+        bits = KeyFilter.segment(np.unique(np.concatenate([keys[1:][again], several])), parts)
+        filled = float(np.bitwise_count(np.frombuffer(bits, dtype=np.uint8)).sum()) / (8 * len(bits))
         entries = len(several) + int((np.append(again, False) | np.concatenate(([False], again))).sum())
         heavy, which = np.unique(np.frombuffer(b"".join(group["heavy"]), dtype=np.uint64), return_inverse=True)
         times = np.bincount(which, np.frombuffer(b"".join(group["times"]), dtype=np.int64), len(heavy)).astype(np.int64)
         most = np.argsort(-times, kind="stable")[:HOTTEST]
         most = most[times[most] >= HOT]
-        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [sieve.fill(np.concatenate([keys[1:][again], several]))], "shared": [entries], "all": [len(keys)], "hot": [heavy[most].tobytes()], "times": [times[most].tobytes()]})
+        strings = min(entries, len(keys)) + max(0, len(keys) - entries) * filled**2
+        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "bits": [bits], "strings": [strings], "pieces": [len(group)], "hot": [heavy[most].tobytes()], "times": [times[most].tobytes()]})
 
     lists = rows.mapInArrow(key_lists, "bucket int, keys binary, several binary, heavy binary, times binary")
-    width = sieve.segment // 8
-    segments, shared, every = np.zeros(parts * width, dtype=np.uint8), 0, 0
+    segments, strings, many = [bytes(8)] * parts, 0.0, 1
     hot, times = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for row in lists.groupBy("bucket").applyInPandas(shared_keys, "bucket int, bits binary, shared long, all long, hot binary, times binary").toLocalIterator():
-        segments[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
-        shared, every = shared + row["shared"], every + row["all"]
+    # written first: an iterator would find the shared k-mers of one partition after the other
+    for row in materialize(lists.groupBy("bucket").applyInPandas(shared_keys, "bucket int, bits binary, strings double, pieces long, hot binary, times binary"), "filter").toLocalIterator():
+        segments[row["bucket"]] = bytes(row["bits"])
+        strings, many = strings + row["strings"], max(many, row["pieces"])
         if row["hot"]:
             hot, times = np.append(hot, np.frombuffer(row["hot"], np.uint64)), np.append(times, np.frombuffer(row["times"], np.int64))
             most = np.argsort(-times, kind="stable")[:HOTTEST]
             hot, times = hot[most], times[most]
-    known, hot_keys = spark.sparkContext.broadcast(segments), spark.sparkContext.broadcast(np.sort(hot))
-    filled = float(np.bitwise_count(segments).sum()) / (8 * len(segments))
-    strings = min(shared, every) + (every - min(shared, every)) * filled**2
+    known, hot_keys = spark.sparkContext.broadcast(KeyFilter(segments)), spark.sparkContext.broadcast(np.sort(hot))
     buckets = max(1, min(shuffle_partitions(spark), int(strings) // 64), int(strings * 1.3 * (length + 15)) // BUCKET)
+    together = _together(many, buckets, shuffle_partitions(spark))
 
     @tidied
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in DEALT_SCHEMA.split(", ")]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 8]
         number = (TaskContext.get().partitionId() << 32) - 1  # the same piece has the same number when a task runs again
         cuts = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
         for batch in batches:
@@ -491,7 +506,7 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 number += 1
                 flat, offsets = all_flat[all_offsets[a] : all_offsets[b]], all_offsets[a : b + 1] - all_offsets[a]
                 found = Strands(flat, offsets, length, k)
-                kept = sieve.holds(known.value, np.searchsorted(cuts, found.key, side="right"), found.key)
+                kept = known.value.holds(np.searchsorted(cuts, found.key, side="right"), found.key)
                 for name in ("start", "windows", "key", "owner", "lead"):
                     setattr(found, name, getattr(found, name)[kept])
                 found.split(hot_keys.value)
@@ -510,20 +525,22 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 del order, fresh, key, sums, head
                 here, at = np.unique(owner, return_index=True)
                 out: list[list] = [
-                    [-1], [number], [0], [b""], [_squeeze(size.astype(np.uint8))], [_squeeze(ids[a + here].astype(np.int64))],
+                    [-1], [number], [0], [b""], [_squeeze(size.astype(np.uint8))], [_squeeze(ids[a + here].astype(np.int64))], [b""],
                     [_squeeze(string.astype(np.int32))], [_squeeze(np.diff(np.append(at, len(owner))).astype(np.int32))],
                     [_squeeze(np.diff(start, prepend=0).astype(np.int32))], [_squeeze(np.stack([marks[a + here].astype(np.int64), offsets[here]]))],
                 ]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
-                for x, y in _groups(bucket, size):
-                    edge = np.append(x + np.flatnonzero(_heads(bucket[x:y])), y)
-                    bwt = transforms(flat, begin[x:y], size[x:y], np.repeat(np.arange(len(edge) - 1), np.diff(edge)))
+                for x, y in _groups(bucket // together, size, 65536 // together):
+                    shard = np.cumsum(_heads(bucket[x:y])) - 1
+                    bwt = transforms(flat, begin[x:y], size[x:y], shard)
+                    edge = np.append(x + np.flatnonzero(_heads(bucket[x:y] // together)), y)
                     row = np.concatenate(([0], np.cumsum(size[x:y] + 1)))[edge - x]
                     spans = [(slice(p, q), bwt[r:s]) for p, q, r, s in zip(edge[:-1].tolist(), edge[1:].tolist(), row[:-1].tolist(), row[1:].tolist(), strict=True)]
                     n = len(spans)
                     columns = [
-                        bucket[edge[:-1]].tolist(), [number] * n, edge[:-1].tolist(), [_squeeze(t) for _, t in spans],
-                        [_squeeze(size[s].astype(np.uint8)) for s, _ in spans], [_squeeze(least[s].astype(np.int64)) for s, _ in spans], *[[b""] * n] * 4,
+                        (bucket[edge[:-1]] // together).tolist(), [number] * n, edge[:-1].tolist(), [_squeeze(t) for _, t in spans],
+                        [_squeeze(size[s].astype(np.uint8)) for s, _ in spans], [_squeeze(least[s].astype(np.int64)) for s, _ in spans],
+                        [np.bincount(bucket[s] % together, minlength=together).astype(np.int32).tobytes() for s, _ in spans], *[[b""] * n] * 4,
                     ]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -534,12 +551,27 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             return pd.DataFrame(dict(zip(names, kept, strict=True)))
         group = group.sort_values("piece", kind="stable")
         sizes = [_spread(r, np.uint8) for r in group["sizes"]]
-        count, size = np.array([len(s) for s in sizes]), np.concatenate(sizes).astype(np.int64)
+        size = np.concatenate(sizes).astype(np.int64)
         least = np.concatenate([_spread(r, np.int64) for r in group["least"]])
-        merged = Merged.of_transforms(np.concatenate([_spread(r, np.uint8) for r in group["transform"]]), size, count, length)
-        windows = size - (length - 1)
-        string, low, first, last = _runs_below(merged.least(least, windows), least, windows)
-        before = np.cumsum(count) - count
+        bwt = np.concatenate([_spread(r, np.uint8) for r in group["transform"]])
+        counts = np.stack([np.frombuffer(r, dtype=np.int32) for r in group["counts"]]).astype(np.int64)
+        begin = np.cumsum(counts).reshape(counts.shape) - counts  # strings of each piece and bucket, and rows of their transform
+        row = np.concatenate(([0], np.cumsum(size + 1)))
+        found = []
+        for j in range(counts.shape[1]):
+            some = np.flatnonzero(counts[:, j])
+            if not len(some):
+                continue
+            count, first = counts[some, j], begin[some, j]
+            own = _ragged(first, count)
+            merged = Merged.of_transforms(bwt[_ragged(row[first], row[first + count] - row[first])], size[own], count, length)
+            windows = size[own] - (length - 1)
+            string, *run = _runs_below(merged.least(least[own], windows), least[own], windows)
+            found.append((own[string], *run))
+        string, low, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(string, kind="stable")
+        string, low, first, last = string[order], low[order], first[order], last[order]
+        before = np.cumsum([0, *map(len, sizes)])[:-1]
         bounds = np.searchsorted(string, np.append(before, len(size)))
         answers = []
         for j, (piece, number) in enumerate(zip(group["piece"], group["first"], strict=True)):

@@ -557,6 +557,52 @@ def test_transforms_are_inverted_by_walking():
     assert at == len(bwt)
 
 
+def test_many_shards_are_sorted_alike():
+    """A piece of a large corpus has a few strings for each of very many buckets."""
+    rng = np.random.default_rng(15)
+    strings = [bytes(rng.choice(list(b"ab"), int(rng.integers(3, 40))).astype(np.uint8)) for _ in range(1800)]
+    size, shard = np.array([len(s) for s in strings]), np.repeat(np.arange(600), 3)
+    bwt = bwt_dedup.transforms(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, shard)
+    want = []
+    for k in range(600):
+        suffixes = sorted((s[i:], j, s[i - 1] + 1 if i else 0) for j, s in enumerate(strings[3 * k : 3 * k + 3]) for i in range(len(s) + 1))
+        want += [before for _, _, before in suffixes]
+    assert bwt.tolist() == want
+
+
+def test_key_filter_grows_with_its_keys(monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "LEAST_BITS", 1 << 12)
+    rng = np.random.default_rng(16)
+    keys, others = (np.unique(rng.integers(0, 1 << 63, 200_000).astype(np.uint64) << np.uint64(1)) for _ in range(2))
+    cuts = np.array([1 << 62, 2 << 62, 3 << 62], dtype=np.uint64)
+    held = [bwt_dedup.KeyFilter.long(bwt_dedup.KeyFilter.short(k)) for k in np.split(keys, np.searchsorted(keys, cuts))]
+    sieve = bwt_dedup.KeyFilter([bwt_dedup.KeyFilter.segment(k, 4) for k in held])
+    assert sieve.holds(np.searchsorted(cuts, keys, side="right"), keys).all()
+    assert sieve.holds(np.searchsorted(cuts, others, side="right"), others).mean() < 0.06
+    monkeypatch.setattr(bwt_dedup, "FILTER_BITS", 1 << 16)
+    sieve = bwt_dedup.KeyFilter([bwt_dedup.KeyFilter.segment(k, 4) for k in held])
+    assert len(sieve.bits) == 1 << 13 and sieve.holds(np.searchsorted(cuts, keys, side="right"), keys).all()
+
+
+def test_rows_of_a_large_corpus_stay_long():
+    """6 GB in 940 pieces: with a row for each of 56,400 buckets a piece would send 53 million rows."""
+    assert bwt_dedup._together(80, 4175, 51) == 5
+    assert 940 * 56_400 / bwt_dedup._together(940, 56_400, 600) < 3_000_000
+    assert bwt_dedup._together(1, 1, 200) == 1
+
+
+def test_neighbouring_buckets_travel_together(spark, data, monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "SENT", 1 << 20)
+    monkeypatch.setattr(bwt_dedup, "BUCKET", 1 << 10)
+    seen = []
+    together = bwt_dedup._together
+    monkeypatch.setattr(bwt_dedup, "_together", lambda *x: seen.append(together(*x)) or seen[-1])
+    rows = documents(spark, data)
+    got = bwt_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in got} == brute_repeats(rows)
+    assert seen[0] > 2
+
+
 def test_repeats_edges(odd, none):
     got = bwt_dedup.drop_repeats(odd).collect()
     assert len(got) == odd.count()
